@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, chat
 
 
 def queries() -> dict:
     return {
+        "op4_chat": chat.op4_chat,
         "op9_bpe": bpe.op9_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_chat": chat.OP4_SQL,
+    }
