@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat
+from . import bpe, chat, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op4_chat": chat.op4_chat,
         "op9_bpe": bpe.op9_bpe,
     }
