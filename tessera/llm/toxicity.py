@@ -101,7 +101,7 @@ def hits(texts: list[str], wanted: np.ndarray | None) -> tuple[np.ndarray, np.nd
     return unique >> 32, unique & 0xFFFFFFFF, counts
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, least_texts: int = 4, least_ratio: float = 2.0, l2: float = 1e-3, steps: int = 150) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12000, least_texts: int = 4, least_ratio: float = 2.0, l2: float = 1e-4, steps: int = 150) -> Model:
     """Trains on docs (doc_id, text) and labels (doc_id, toxic).
 
     max_rows bounds the sample; slots in fewer than least_texts sampled texts, or with a log-count ratio under
