@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, toxicity
+from . import bpe, chat, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op4_chat": chat.op4_chat,
+        "op8_quality": quality.op8_quality,
         "op9_bpe": bpe.op9_bpe,
     }
 
