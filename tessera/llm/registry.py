@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, quality, toxicity
+from . import bpe, chat, licenses, quality, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_chat": chat.op4_chat,
         "op8_quality": quality.op8_quality,
         "op9_bpe": bpe.op9_bpe,
+        "op10_licenses": licenses.op10_licenses,
     }
 
 
