@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, licenses, quality, toxicity
+from . import bpe, chat, html_text, licenses, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op3_html": html_text.op3_html,
         "op4_chat": chat.op4_chat,
         "op8_quality": quality.op8_quality,
         "op9_bpe": bpe.op9_bpe,
