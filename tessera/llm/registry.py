@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, html_text, licenses, quality, toxicity
+from . import bpe, chat, html_text, licenses, quality, secrets, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_secrets": secrets.op2_secrets,
         "op3_html": html_text.op3_html,
         "op4_chat": chat.op4_chat,
         "op8_quality": quality.op8_quality,
