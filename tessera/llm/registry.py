@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, html_text, licenses, quality, secrets, toxicity
+from . import bpe, chat, decontaminate, html_text, licenses, quality, secrets, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_secrets": secrets.op2_secrets,
         "op3_html": html_text.op3_html,
         "op4_chat": chat.op4_chat,
+        "op5_decontaminate": decontaminate.op5_decontaminate,
         "op8_quality": quality.op8_quality,
         "op9_bpe": bpe.op9_bpe,
         "op10_licenses": licenses.op10_licenses,
@@ -20,4 +21,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_chat": chat.OP4_SQL,
+        "op5_decontaminate": decontaminate.OP5_SQL,
     }
