@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, html_text, licenses, quality, secrets, toxicity
+from . import bpe, chat, decontaminate, html_text, jaccard, licenses, quality, secrets, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_html": html_text.op3_html,
         "op4_chat": chat.op4_chat,
         "op5_decontaminate": decontaminate.op5_decontaminate,
+        "op6_jaccard": jaccard.op6_jaccard,
         "op8_quality": quality.op8_quality,
         "op9_bpe": bpe.op9_bpe,
         "op10_licenses": licenses.op10_licenses,
