@@ -5,8 +5,15 @@ from __future__ import annotations
 from . import bpe, chat, decontaminate, html_text, jaccard, licenses, quality, secrets, toxicity
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": pipeline,
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_secrets": secrets.op2_secrets,
         "op3_html": html_text.op3_html,

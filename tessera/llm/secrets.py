@@ -136,7 +136,10 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         ),
         lambda s: F.concat(F.array_join(s["parts"], ""), part(s["at"], F.length("text"))),
     )
-    return scan(docs).withColumn("text", F.when(F.size("base_spans") + F.size("entropy_spans") > 0, cut).otherwise(F.col("text"))).drop("base_spans", "entropy_spans")
+    clashing = {c: f"kept {c}" for c in docs.columns if c in ("base_spans", "entropy_spans")}
+    out = scan(docs.withColumnsRenamed(clashing))
+    out = out.withColumn("text", F.when(F.size("base_spans") + F.size("entropy_spans") > 0, cut).otherwise(F.col("text"))).drop("base_spans", "entropy_spans")
+    return out.withColumnsRenamed({v: k for k, v in clashing.items()})
 
 
 def listed(spans: Column) -> Column:
