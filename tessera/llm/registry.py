@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, html_text, jaccard, licenses, quality, secrets, toxicity
+from . import bpe, chat, decontaminate, html_text, jaccard, licenses, quality, secrets, substrings, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op4_chat": chat.op4_chat,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_jaccard": jaccard.op6_jaccard,
+        "op7_substrings": substrings.op7_substrings,
         "op8_quality": quality.op8_quality,
         "op9_bpe": bpe.op9_bpe,
         "op10_licenses": licenses.op10_licenses,
