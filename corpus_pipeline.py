@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, jaccard, secrets, toxicity
+from tessera.llm.bitmap import split_by
 from tessera.llm.common import table, written
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in dropped; null ids stay. The table of ids is written, so its size is known."""
-    return docs.join(written(dropped.select("doc_id").where("doc_id is not null").distinct(), "dropped"), "doc_id", "left_anti")
+    """docs without the rows whose doc_id is in dropped; null ids stay. Only rows that may be dropped are joined."""
+    ids = written(dropped.select("doc_id").where("doc_id is not null").distinct(), "dropped")
+    may, stay = split_by(docs, ids, "doc_id")
+    return stay.unionByName(may.join(ids, "doc_id", "left_anti").select(*docs.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.7) -> DataFrame:
@@ -24,19 +27,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: flo
     texts = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~toxicity.held_out(F.col("doc_id")))
     model = toxicity.fit(texts, labels)
-    return without(docs, toxicity.score(docs, model).where(F.col("score") >= threshold)).select(*docs.columns)
+    return toxicity.score(docs, model, docs.columns, "score of toxicity").where(F.col("score of toxicity") < threshold).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group that 80 percent similarity of 5-word shingles connects."""
     groups = jaccard.similar_groups(docs, size=5, percent=80)
-    return without(docs, groups.where("component_id != doc_id")).select(*docs.columns)
+    return without(docs, groups.where("component_id != doc_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that share no window of ten words (or no whole shorter item) with the benchmark."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found.where("n_hit > 0")).select(*docs.columns)
+    return without(docs, found.where("n_hit > 0"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 Of each text every run of GUARANTEE - k + 1 consecutive k-gram hashes gives its minimum as a fingerprint (k is half the
 guarantee, rounded up), so a span of GUARANTEE words that two texts share gives both the same fingerprint at the same
-place. Fingerprints of the training texts are joined to the distinct ones of the test items. Each hit is extended to
-the windows of GUARANTEE words around it, which are joined by their words to the items' windows; a joined window is a
-match, and every shared window is found. Items shorter than that are a window of their own length: each length that
+place. Fingerprints of the training texts, each with the few words around it, are joined to the distinct ones of the test
+items. Each hit is extended to the windows of GUARANTEE words around it, which are joined by their words to the items'
+windows; a joined window is a match, and every shared window is found. The texts themselves are never shuffled. Items shorter than that are a window of their own length: each length that
 occurs (nine at most) is a guarantee of its own.
 
 Only distinct fingerprints and windows are joined, so a passage in many items or a word that repeats makes no pairs of
@@ -45,21 +45,21 @@ def fingerprints(hashes: Column, guarantee: int) -> Column:
 
 
 def selected(docs: DataFrame, key: list[str], guarantee: int) -> DataFrame:
-    """Rows of key, at, value: every position whose k-gram is the minimum of a run it is in."""
+    """Rows (key, w) to (key, value, first, context): each k-gram that is the minimum of a run it is in, and the words that
+    windows of `guarantee` words with that k-gram reach, joined by blanks, from word first on."""
     k = gram_size(guarantee)
     width = guarantee - k + 1
+    hashed = docs.select(*key, "w", F.transform("w", lambda w: F.xxhash64(w)).alias("hashes"))
     grams, lows = fingerprints(F.col("hashes"), guarantee)
-    marked = docs.select(*key, grams.alias("grams")).select(*key, "grams", lows.alias("lows"))
+    marked = hashed.select(*key, "w", grams.alias("grams")).select(*key, "w", "grams", lows.alias("lows"))
     # a position is chosen if its value is the minimum of some run that holds it
-    chosen = F.transform(
-        "grams",
-        lambda g, i: F.struct(
-            i.alias("at"),
-            g.alias("value"),
-            F.exists(F.slice(F.col("lows"), F.greatest(i - (width - 2), F.lit(1)), F.lit(width)), lambda low: low == g).alias("chosen"),
-        ),
+    chosen = F.filter(
+        F.transform("grams", lambda g, i: F.when(F.exists(F.slice(F.col("lows"), F.greatest(i - (width - 2), F.lit(1)), F.lit(width)), lambda low: low == g), i)),
+        lambda i: i.isNotNull(),
     )
-    return marked.select(*key, F.inline(F.filter(chosen, lambda x: x["chosen"]))).drop("chosen")
+    first = lambda i: F.greatest(i - (guarantee - k), F.lit(0))
+    context = lambda i: F.array_join(F.slice(F.col("w"), first(i) + 1, i + guarantee - first(i)), " ")
+    return marked.select(*key, F.inline(F.transform(chosen, lambda i: F.struct(F.get("grams", i).alias("value"), first(i).alias("first"), context(i).alias("context")))))
 
 
 def windows(items: DataFrame, guarantee: int = GUARANTEE) -> DataFrame:
@@ -75,33 +75,20 @@ def matches(docs: DataFrame, items: DataFrame, guarantee: int = GUARANTEE) -> tu
     item_windows = written(windows(items, guarantee), "item-windows")
     distinct = written(item_windows.select("size", "window").distinct(), "item-distinct")
     sizes = sorted(r["size"] for r in item_windows.select("size").distinct().collect())  # at most `guarantee` values
-    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
-    hashed = keyed.select("doc_id", "text_key", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
+    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), words(F.col("text")).alias("w"))
     hits = None
     for size in sizes:
-        mine = distinct.where(F.col("size") == size).select("window", F.transform(F.split("window", " "), lambda w: F.xxhash64(w)).alias("hashes"))
+        mine = distinct.where(F.col("size") == size).select("window", F.split("window", " ").alias("w"))
         values = written(selected(mine, ["window"], size).select("value").distinct(), "item-values")
-        found = selected(hashed, ["doc_id", "text_key"], size).join(values, "value", "left_semi").select("doc_id", "text_key", F.lit(size).alias("size"), "at")
+        found = selected(keyed, ["doc_id", "text_key"], size).join(values, "value", "left_semi").select("doc_id", "text_key", F.lit(size).alias("size"), "first", "context")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         none = docs.sparkSession.createDataFrame([], "at int, size int, window string")
         return keyed.select("doc_id", "text_key").limit(0).crossJoin(none), item_windows
-    hits = written(hits, "doc-hits")
-    by_doc = written(hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("size", "at")).alias("hits")), "hit-docs")
-    text = keyed.alias("t").join(by_doc.alias("h"), F.col("t.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("t.text_key") == F.col("h.text_key"))).select("t.doc_id", "t.text_key", "text", "hits").dropDuplicates(["doc_id", "text_key"])
-    starts = F.array_distinct(
-        F.flatten(
-            F.transform(
-                "hits",
-                lambda h: F.transform(
-                    F.sequence(F.greatest(F.lit(0), h["at"] - (h["size"] - F.floor((h["size"] + 1) / 2).cast("int"))), F.least(h["at"], F.size("w") - h["size"])),
-                    lambda i: F.struct(i.alias("at"), h["size"].alias("size")),
-                ),
-            )
-        )
-    )
-    places = text.select("doc_id", "text_key", words(F.col("text")).alias("w"), "hits").select("doc_id", "text_key", F.inline(F.transform(starts, lambda s: F.struct(s["at"].alias("at"), s["size"].alias("size"), F.array_join(F.slice(F.col("w"), s["at"] + 1, s["size"]), " ").alias("window")))))
-    return places.join(distinct, ["size", "window"]).select("doc_id", "text_key", "at", "size", "window"), item_windows
+    near = hits.select("doc_id", "text_key", "size", "first", F.split("context", " ").alias("c"))
+    cut = F.transform(indexes(F.size("c") - F.col("size") + 1), lambda i: F.struct((F.col("first") + i).alias("at"), F.array_join(F.slice(F.col("c"), i + 1, F.col("size")), " ").alias("window")))
+    places = near.select("doc_id", "text_key", "size", F.inline(cut))
+    return places.join(distinct, ["size", "window"]).select("doc_id", "text_key", "at", "size", "window").distinct(), item_windows
 
 
 def contamination(docs: DataFrame, items: DataFrame, guarantee: int = GUARANTEE) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import batches_of, mixed, words_of
+from .bitmap import BITS, held, repeated_bits, split_by
 from .common import table, written
 from .graph import components
 
@@ -87,22 +88,44 @@ def key_of(shingles: np.ndarray) -> int | None:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64)) if len(shingles) else None
 
 
-def described(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Rows (doc_id, n_shingles, key, signatures)."""
+def described(docs: DataFrame, size: int) -> DataFrame:
+    """Rows (doc_id, n_shingles, key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for at, end in batches_of(texts, SPAN):
                 sets = shingle_sets(texts[at:end], size)
-                signed = [signatures(s, percent).view(np.int64) for s in sets]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, signed)]), pa.int32()), pa.array(np.concatenate(signed)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, end - at), pa.array(map(len, sets), pa.int64()), pa.array(map(key_of, sets), pa.int64()), lists], names=["doc_id", "n_shingles", "key", "signatures"]
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(map(len, sets), pa.int64()), pa.array(map(key_of, sets), pa.int64())], names=["doc_id", "n_shingles", "key"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, key bigint, signatures array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, key bigint")
+
+
+def all_signatures(docs: DataFrame, size: int, percent: int, marks=None) -> DataFrame:
+    """Rows (signature, key) of each text; with marks (a broadcast map) only those marked there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if marks is None else np.frombuffer(marks.value, np.uint8)
+        for batch in batches:
+            texts = [x or "" for x in batch.column(0).to_pylist()]
+            for at, end in batches_of(texts, SPAN):
+                sets = [s for s in shingle_sets(texts[at:end], size) if len(s)]
+                signed = [signatures(s, percent) for s in sets]
+                flat = np.concatenate([np.zeros(0, np.uint64), *signed])
+                keys = np.repeat(np.array([key_of(s) for s in sets], np.int64), np.array([len(x) for x in signed], np.int64))
+                if known is not None:
+                    keep = held(known, flat)
+                    flat, keys = flat[keep], keys[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(keys)], names=["signature", "key"])
+
+    return docs.select("text").mapInArrow(run, "signature bigint, key bigint")
+
+
+def shared_signatures(docs: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
+    """Rows (signature, key) without most signatures that only one text has; texts are signed twice, nothing is stored."""
+    bitmap = repeated_bits(all_signatures(docs, size, percent).select(F.col("signature").alias("h")), bits)
+    return all_signatures(docs, size, percent, docs.sparkSession.sparkContext.broadcast(bitmap)).distinct()
 
 
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
@@ -170,7 +193,7 @@ def block_links(group: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
-def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, bits: int = BITS) -> DataFrame:
     """Rows (doc_id, text) to (doc_id, n_shingles, component_id, n_links), a row for each row.
 
     Two texts link when 100 * |intersection| >= percent * |union| of their sets of shingles of `size` words (lower case,
@@ -179,14 +202,15 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     texts have no shingles and are linked with nothing. Repeated rows stay and are copies of each other; null ids never
     name a component unless it has no other. Other columns are ignored. Sets are told apart by 64-bit digests.
     """
-    described_docs = written(described(docs, size, percent), "signed")
+    described_docs = written(described(docs, size), "described")
     nodes = described_docs.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"))
-    signed = described_docs.select("key", F.explode("signatures").alias("signature"))
+    signed = written(shared_signatures(docs, size, percent, bits), "shared")
     buckets = signed.groupBy("signature").agg(F.min("key").alias("pivot"), F.max("key").alias("last")).where("pivot != last").select("signature", "pivot")
     members = written(signed.join(buckets, "signature").select("signature", "pivot", "key").distinct(), "members")
     chosen = written(members.select("key").distinct().join(nodes, "key"), "candidates")
     # one row of each candidate set is read again for its shingles
-    texts = docs.select("doc_id", "text").join(chosen.where("doc is not null").select(F.col("doc").alias("doc_id"), "key"), "doc_id")
+    wanted = chosen.where("doc is not null").select(F.col("doc").alias("doc_id"), "key")
+    texts = split_by(docs.select("doc_id", "text"), wanted, "doc_id", bits)[0].join(wanted, "doc_id")
     sets = written(sets_of(texts, size).dropDuplicates(["key"]), "sets")
     sizes = chosen.select("key", "n")
 

@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import batches_of, mixed, spread
+from .bitmap import BITS, held, repeated_bits
 from .common import table, written
 
 LENGTH, GRAM = 100, 24
-#: Bytes of text that are hashed at a time (positions must fit 24 bits); bits of the map; samples sorted at a time.
-SPAN, MAP_BITS, BLOCK = 1 << 22, 1 << 27, 1 << 16
+#: Bytes of text that are hashed at a time (positions must fit 24 bits); samples sorted at a time.
+SPAN, BLOCK = 1 << 22, 1 << 16
 _LOW = np.uint64(0xFFFFFF)
 
 
@@ -100,29 +101,7 @@ def repeated_map(docs: DataFrame, bits: int) -> bytes:
             for _, _, texts in parts_of(batch, 0):
                 yield pa.RecordBatch.from_arrays([pa.array(samples(texts)[3].view(np.int64))], names=["h"])
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        chunk = 1 << 20
-        for batch in batches:
-            bit = (batch.column(0).to_numpy().view(np.uint64) % np.uint64(bits)).astype(np.int64)
-            for c in np.unique(bit // chunk).tolist():
-                held.setdefault(c, np.zeros(chunk // 8, np.uint8))
-                mine = bit[bit // chunk == c] % chunk
-                np.bitwise_or.at(held[c], mine >> 3, (1 << (mine & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["chunk", "bits"])
-
-    def united(group: pa.Table) -> pa.Table:
-        out = np.zeros((1 << 20) // 8, np.uint8)
-        for x in group["bits"]:
-            out |= np.frombuffer(x.as_buffer(), np.uint8)
-        return pa.table({"chunk": group["chunk"].slice(0, 1), "bits": pa.array([out.tobytes()], pa.binary())})
-
-    twice = docs.select("text").mapInArrow(hashes, "h bigint").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    schema = "chunk bigint, bits binary"
-    out = bytearray(bits // 8)
-    for row in twice.mapInArrow(marked, schema).groupBy("chunk").applyInArrow(united, schema).toLocalIterator():  # bits / 8 bytes in all
-        out[row["chunk"] << 17 : (row["chunk"] + 1) << 17] = row["bits"]
-    return bytes(out)
+    return repeated_bits(docs.select("text").mapInArrow(hashes, "h bigint"), bits)
 
 
 def pieces(docs: DataFrame, bits: bytes) -> DataFrame:
@@ -135,8 +114,7 @@ def pieces(docs: DataFrame, bits: bytes) -> DataFrame:
         for batch in batches:
             for rows, offsets, texts in parts_of(batch, 1):
                 raw, begins, owner, h, first, last, at = samples(texts)
-                bit = (h % np.uint64(8 * len(known))).astype(np.int64)
-                keep = np.flatnonzero(known[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                keep = np.flatnonzero(held(known, h))
                 owner, h, first, last, at = owner[keep], h[keep], first[keep], last[keep], at[keep]
                 keys = np.array([text_key(x) for x in batch.column(1).take(pa.array(rows)).to_pylist()], np.int64)
                 begin = np.array(offsets)[owner] - begins[owner]
@@ -235,7 +213,7 @@ def copied_ranges(sent: DataFrame) -> DataFrame:
     return buckets.mapInArrow(run, f"doc_id {id_type.simpleString()}, text_key bigint, start bigint, stop bigint")
 
 
-def dedup(docs: DataFrame, keep_bytes: bool = True, bits: int = MAP_BITS) -> DataFrame:
+def dedup(docs: DataFrame, keep_bytes: bool = True, bits: int = BITS) -> DataFrame:
     """Rows (doc_id, text) to (doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]), a row for each row.
 
     Earlier means a smaller doc_id (null is smallest), then, for rows with one id and different texts, a smaller digest of

@@ -166,24 +166,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12000, least_texts:
     return Model(slots, w * ratios, float(b))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows (doc_id, text) to (doc_id, score), score a double from 0 to 1.
+def score(docs: DataFrame, model: Model, carry: list[str] | None = None, name: str = "score") -> DataFrame:
+    """Rows (doc_id, text) to (doc_id, score), or to the columns `carry` and the score, a double from 0 to 1.
 
     A null text counts as empty and scores by the bias alone, as does any text without selected n-grams. Repeated rows
     each get their score; other columns are ignored.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    carry = ["doc_id"] if carry is None else carry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         wanted, weights = model.lookup(), np.append(0.0, model.weights)
         for batch in batches:
-            owner, place, count = hits([x or "" for x in batch.column(1).to_pylist()], wanted)
+            owner, place, count = hits([x or "" for x in batch.column(0).to_pylist()], wanted)
             total = np.bincount(owner, weights[place] * np.log1p(count), batch.num_rows) + model.bias
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], names=[*carry, name])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, score double")
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(F.col("text").alias("text to score"), *(docs[c] for c in carry)).mapInArrow(run, f"{schema}, `{name}` double")
 
 
 def held_out(doc_id):
