@@ -51,25 +51,25 @@ SYMBOLS = f"""{CORPUS}, {LINES},
 symbols AS (SELECT l.doc_id * 100000 + l.n AS symbol_id, regexp_extract(line, '{ft.IDENTIFIER}') AS name, CASE WHEN l.n % 3 = 1 THEN 'def' ELSE 'ref' END AS tag,
   f.path, l.n AS start_line, l.n + 2 AS end_line, f.lang, f.content_type FROM lines l JOIN files f USING (doc_id) WHERE regexp_extract(line, '{ft.IDENTIFIER}') <> '')"""
 _STOPS = ", ".join(f"'{w}'" for w in ft.QUERY_STOP_WORDS)
-TOKENS = f"""tokens AS (SELECT doc_id, regexp_extract_all(lower(text), '{ft.INDEX_TOKEN}') AS terms FROM documents),
+TOKENS = f"""tokens AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(text), '{ft.INDEX_TOKEN}') AS terms FROM documents),
 totals AS (SELECT count(*) AS n_docs, avg(len(terms)) AS avgdl FROM tokens),
-postings AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(terms) AS dl, unnest(terms) AS term FROM tokens) GROUP BY doc_id, term)"""
+postings AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(terms) AS dl, unnest(terms) AS term FROM tokens) GROUP BY doc_id, term)"""
 ASKED = f"""asked AS (SELECT query_id, lower(w) AS term, count(*) AS weight FROM (SELECT query_id, unnest(regexp_extract_all(query, '{ft.IDENTIFIER}')) AS w FROM queries)
   WHERE length(w) > 2 AND lower(w) NOT IN ({_STOPS}) GROUP BY query_id, lower(w))"""
 BM25 = """df AS (SELECT term, count(*) AS df FROM postings WHERE term IN (SELECT term FROM asked) GROUP BY term),
-scores AS (SELECT query_id, doc_id, round(-sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25
+scores AS MATERIALIZED (SELECT query_id, doc_id, round(-sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25
   FROM asked JOIN df USING (term) JOIN postings USING (term) CROSS JOIN totals {where} GROUP BY query_id, doc_id)"""
 BENCHMARK = "queries AS (SELECT item_id AS query_id, substr(text, 1, 60) AS query FROM benchmark)"
 ONE_QUERY = f"queries AS (SELECT 0 AS query_id, '{WORDS}' AS query)"
 TOP = "SELECT query_id, doc_id, bm25, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25, doc_id) AS rank FROM scores) WHERE rank <= {0}"
-COSINE = """pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine
+COSINE = """pairs AS MATERIALIZED (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine
   FROM embeddings v, (SELECT * FROM embeddings WHERE {0}) q {1})"""
 LISTS = f"""{BENCHMARK}, {TOKENS}, {ASKED}, {BM25.format(where="")}, {COSINE.format("vec_id IN (SELECT item_id FROM benchmark)", "")},
-lists AS (SELECT query_id, 'lexical' AS tier, doc_id, rank, bm25 AS raw FROM ({TOP.format(30)})
+lists AS MATERIALIZED (SELECT query_id, 'lexical' AS tier, doc_id, rank, bm25 AS raw FROM ({TOP.format(30)})
   UNION ALL SELECT query_id, 'vector', doc_id, rank, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, doc_id) AS rank FROM pairs) WHERE rank <= 30)"""
 FUSED = """shaped AS (SELECT query_id, CASE WHEN len(regexp_extract_all(query, '[A-Za-z_][A-Za-z0-9_]*')) >= 4 THEN 0.5 ELSE 0.3 END AS alpha FROM queries),
-rrf AS (SELECT query_id, doc_id, round(sum((CASE tier WHEN 'vector' THEN alpha ELSE 1 - alpha END) / (60 + rank)), 9) AS fused FROM lists JOIN shaped USING (query_id) GROUP BY query_id, doc_id)"""
-MINMAX = "normed AS (SELECT query_id, doc_id, round(CASE WHEN hi = lo THEN 1.0 ELSE (fused - lo) / (hi - lo) END, 6) AS fused FROM (SELECT *, min(fused) OVER (PARTITION BY query_id) AS lo, max(fused) OVER (PARTITION BY query_id) AS hi FROM {0}))"
+rrf AS MATERIALIZED (SELECT query_id, doc_id, round(sum((CASE tier WHEN 'vector' THEN alpha ELSE 1 - alpha END) / (60 + rank)), 9) AS fused FROM lists JOIN shaped USING (query_id) GROUP BY query_id, doc_id)"""
+MINMAX = "normed AS MATERIALIZED (SELECT query_id, doc_id, round(CASE WHEN hi = lo THEN 1.0 ELSE (fused - lo) / (hi - lo) END, 6) AS fused FROM (SELECT *, min(fused) OVER (PARTITION BY query_id) AS lo, max(fused) OVER (PARTITION BY query_id) AS hi FROM {0}))"
 PENALTY = f"""(CASE WHEN regexp_matches({{0}}, '{fc.TEST_FILES}') OR regexp_matches({{0}}, '{fc.TEST_DIRS}') THEN CAST(0.3 AS DOUBLE) ELSE 1 END
   * CASE WHEN regexp_extract({{0}}, '[^/]*$') IN ('__init__.py', 'package-info.java') THEN CAST(0.5 AS DOUBLE) ELSE 1 END * CASE WHEN regexp_matches({{0}}, '{fc.COMPAT_DIRS}') THEN CAST(0.3 AS DOUBLE) ELSE 1 END
   * CASE WHEN regexp_matches({{0}}, '{fc.EXAMPLE_DIRS}') THEN CAST(0.3 AS DOUBLE) ELSE 1 END * CASE WHEN regexp_matches({{0}}, '{fc.TYPE_FILES}') THEN CAST(0.7 AS DOUBLE) ELSE 1 END)"""
@@ -117,14 +117,6 @@ def lexical_enriched(spark, d):
     return sources.documents(spark, d).select("doc_id", F.sha2(ft.enriched(F.col("path"), F.col("text")), 256).alias("rendered"))
 
 
-@query()
-def lexical_modes(spark, d):
-    rows = sources.documents(spark, d)
-    for mode in ("inline", "append"):
-        rows = rows.withColumn(mode, F.sha2(ft.lexical(F.col("path"), F.col("text"), Settings(split_identifiers=mode)), 256))
-    return rows.select("doc_id", "inline", "append", ft.lexical_override(F.col("path"), F.col("text"), Settings(lexical_mode="capped")).isNotNull().alias("overridden"))
-
-
 @query(f"""WITH {CORPUS}, named AS (SELECT doc_id, path, list_filter(list_transform(regexp_extract_all(text, '{ft.LONG_IDENTIFIER}'), lambda w: {HUMANISE.format('w')}), lambda w: w <> '') AS w FROM files),
 firsts AS (SELECT doc_id, w, min(i) AS i FROM (SELECT doc_id, unnest(w) AS w, unnest(generate_series(1, len(w))) AS i FROM named) GROUP BY doc_id, w),
 capped AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS words FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM firsts) WHERE k <= 25 GROUP BY doc_id)
@@ -368,7 +360,7 @@ def evidence_map(spark, d):
 
 
 CANDIDATES = f"""{CORPUS}, {LISTS}, {FUSED}, {MINMAX.format('rrf')},
-cands AS (SELECT n.query_id, q.query, n.doc_id, source AS path, text, fused AS score FROM normed n JOIN queries q USING (query_id) JOIN corpus0 USING (doc_id))"""
+cands AS MATERIALIZED (SELECT n.query_id, q.query, n.doc_id, source AS path, text, fused AS score FROM normed n JOIN queries q USING (query_id) JOIN corpus0 USING (doc_id))"""
 COHERENT = """coherent AS (SELECT query_id, query, doc_id, path, text, round(score + CASE WHEN best = 1 AND top > 0 AND most > 0 THEN top * 0.2 * file_sum / most ELSE 0 END, 6) AS score FROM (
   SELECT *, max(score) OVER (PARTITION BY query_id) AS top, max(file_sum) OVER (PARTITION BY query_id) AS most FROM (
     SELECT *, sum(score) OVER (PARTITION BY query_id, path) AS file_sum, row_number() OVER (PARTITION BY query_id, path ORDER BY score DESC, doc_id) AS best FROM cands)))"""
@@ -444,7 +436,7 @@ def non_candidate_inject(spark, d):
 
 
 @query(f"""WITH {CORPUS}, {LISTS}, {FUSED}, {MINMAX.format('rrf')},
-cands AS (SELECT n.query_id, q.query, n.doc_id, f.path, text, fused AS score FROM normed n JOIN queries q USING (query_id) JOIN files f USING (doc_id)), {COHERENT},
+cands AS MATERIALIZED (SELECT n.query_id, q.query, n.doc_id, f.path, text, fused AS score FROM normed n JOIN queries q USING (query_id) JOIN files f USING (doc_id)), {COHERENT},
 topped AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top, regexp_replace(regexp_extract(path, '[^/]*$'), '(.)\\.[^.]*$', '\\1') AS stem, string_split(path, '/')[-2] AS parent,
   list_distinct(list_filter(list_transform(list_filter(regexp_extract_all(query, '{ft.IDENTIFIER}'), lambda w: length(w) > 2), lambda w: lower(w)), lambda w: w NOT IN ({", ".join(f"'{w}'" for w in ft.STEM_STOP_WORDS)}))) AS words FROM coherent),
 sided AS (SELECT *, list_transform([stem, parent], lambda s: CASE WHEN contains(s, '_') THEN list_filter(string_split(lower(s), '_'), lambda p: p <> '')
