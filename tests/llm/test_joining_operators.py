@@ -1,0 +1,132 @@
+"""Operators over many texts against brute force: near duplicates, decontamination, repeated substrings, the pipeline's stages."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+
+from tessera.llm import decontaminate, jaccard, substrings
+
+EDGES = [None, "", " ", "a", "same text", "same text", "from " * 500]
+
+
+def prose(rng, n, kinds=40):
+    return " ".join(f"w{rng.randrange(kinds)}" for _ in range(n))
+
+
+def brute_groups(texts, size, percent):
+    sets = {}
+    for d, t in enumerate(texts):
+        w = re.findall(r"[^ \t-\r]+", (t or "").lower())
+        sets[d] = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def test_near_duplicates_lose_no_link(docs_of, monkeypatch):
+    monkeypatch.setattr(jaccard, "FEW", 6)  # so that blocks are compared too
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = random.Random(1)
+    base = prose(rng, 120, 5000).split()
+    texts = list(EDGES)
+    for _ in range(40):  # one large group of near copies
+        copy = list(base)
+        for _ in range(rng.randrange(4)):
+            copy[rng.randrange(len(copy))] = f"edit{rng.randrange(9)}"
+        texts.append(" ".join(copy))
+    texts += [prose(rng, rng.randrange(3, 60), 300) for _ in range(40)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(docs_of(texts), 3, 90, bits=1 << 20).collect()}
+    assert got == brute_groups(texts, 3, 90)
+
+
+def test_signatures_are_shared_by_similar_sets():
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 9, 10, 19, 50, 300, 2000):
+        for percent in (80, 90):
+            for _ in range(15):
+                a = np.unique(rng.integers(0, 2**63, size, np.uint64))
+                lost = rng.integers(0, len(a) * (100 - percent) // 100 + 1)
+                b = np.sort(np.append(a[rng.permutation(len(a))[lost:]], rng.integers(0, 2**63, 0, np.uint64)))
+                if len(b) and jaccard.similar(len(a), len(b), len(b), percent):
+                    assert np.intersect1d(jaccard.signatures(a, percent), jaccard.signatures(b, percent)).size
+
+
+def test_contamination(spark, docs_of):
+    rng = random.Random(6)
+    texts = [*EDGES, *(prose(rng, rng.randrange(5, 80), 6) for _ in range(40))]
+    items = [(1, texts[10]), (2, texts[12] + " w1"), (3, "w1 w2 W3"), (4, None), (5, "!"), (20, "from from from from from from from from from from from"), (6, "same text")]
+
+    def words(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+
+    want = {}
+    for d, t in enumerate(texts):
+        w, hit, ids = words(t), set(), []
+        for i, x in items:
+            x = words(x)
+            n = min(len(x), 10)
+            own = {tuple(x[k : k + n]) for k in range(len(x) - n + 1)} if n else set()
+            at = [k for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in own] if n else []
+            hit.update(k + j for k in at for j in range(n))
+            ids += [str(i)] * bool(at)
+        want[d] = (len(w), len(hit), sorted(ids))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontaminate.contamination(docs_of(texts), benchmark).collect()}
+    assert got == want
+    none = decontaminate.contamination(docs_of(texts[:3]), benchmark.limit(0)).collect()
+    assert [(r.n_hit, r.item_ids) for r in none] == [(0, [])] * 3
+
+
+def test_repeated_substrings(docs_of):
+    rng = random.Random(3)
+    passages = [prose(rng, 60, 50) for _ in range(4)]
+    texts = []
+    for _ in range(60):
+        t = prose(rng, rng.randrange(120), 50)
+        for _ in range(rng.randrange(3)):
+            p, a = rng.choice(passages), rng.randrange(100)
+            t = t[: len(t) // 2] + p[a : a + rng.randrange(50, 300)] + t[len(t) // 2 :]
+        texts.append(t)
+    texts += [*EDGES, "a" * 1000, "ab" * 300, "x" * 99, "x" * 100, "x" * 100, "\0" * 300, "é" * 100, "é" * 99]
+    seen, want = set(), {}
+    for d, t in enumerate(texts):
+        data = (t or "").encode()
+        gone = np.zeros(len(data), bool)
+        for i in range(len(data) - 99):
+            if data[i : i + 100] in seen:
+                gone[i : i + 100] = True
+            seen.add(data[i : i + 100])
+        runs = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
+        want[d] = (len(data), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest())
+    # equal ids and texts are one text: EDGES' copies have ids of their own
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.dedup(docs_of(texts), bits=1 << 20).collect()}
+    assert got == want
+
+
+def test_empty_tables(docs_of, spark):
+    empty = docs_of(["x"]).limit(0)
+    assert jaccard.similar_groups(empty, bits=1 << 20).count() == 0
+    assert substrings.dedup(empty, bits=1 << 20).count() == 0
+
+
+def test_pipeline_stages_keep_columns(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).cache()
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "tokens"]
+    for name, stage in corpus_pipeline.STAGES[2:4]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.count() <= 60, name
