@@ -105,7 +105,7 @@ def from_markdown(source: str) -> list[dict]:
             fenced = not fenced
         elif not fenced and (m := re.match(r"\s{0,3}#{1,6}\s+(.*?)\s*#*\s*$", line)) and m[1]:
             heads.append((m[1], n, line))
-    ends = [n - 1 for _, n, _ in heads[1:]] + [len(lines)]
+    ends = [n - 1 for _, n, _ in heads[1:]] + [len(lines)] * bool(heads)
     return [row(name, "def", "section", n, end, line) for (name, n, line), end in zip(heads, ends, strict=True)]
 
 

@@ -34,12 +34,11 @@ def cosine(vectors: DataFrame, queries: DataFrame, keep: Column | None = None, k
 def hashed_vector(text: Column, dims: int = 64) -> Column:
     """A unit vector of signed hashed token counts; the zero vector for a text without tokens."""
     slots = F.transform(tokenize(text), lambda t: F.pmod(F.xxhash64(t), F.lit(2 * dims)).cast("int"))
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda k: (F.size(F.filter(slots, lambda s: s == 2 * k)) - F.size(F.filter(slots, lambda s: s == 2 * k + 1))).cast("double"),
-    )
-    size = norm(counts)
-    return F.transform(counts, lambda c: F.when(size > 0, c / size).otherwise(F.lit(0.0)).cast("float"))
+    sign = lambda s: F.when(s % 2 == 0, 1.0).otherwise(-1.0)
+    counts = F.aggregate(slots, F.array_repeat(F.lit(0.0), dims), lambda all_, s: F.transform(all_, lambda x, i: F.when(i == F.shiftright(s, 1), x + sign(s)).otherwise(x)))
+    # a one-element array binds the counts to a variable, so they are worked out once
+    sized = F.transform(F.array(counts), lambda c: F.struct(c.alias("c"), norm(c).alias("n")))
+    return F.get(F.transform(sized, lambda v: F.transform(v["c"], lambda x: F.when(v["n"] > 0, x / v["n"]).otherwise(F.lit(0.0)).cast("float"))), F.lit(0))
 
 
 def encode(rows: DataFrame, settings, key: str = "chunk_id") -> DataFrame:

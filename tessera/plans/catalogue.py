@@ -421,14 +421,15 @@ def embedded_boost(spark, d):
 
 
 @query(f"""WITH {_POOL}, parted AS (SELECT doc_id, score, stem, string_split(path, '/') AS segments FROM pool),
-named AS (SELECT doc_id, score, list_concat([stem], list_filter(string_split(stem, '_'), lambda p: p <> ''), [segments[-2]], string_split(segments[-2], '_')) AS p FROM parted),
+named AS (SELECT doc_id, score, list_concat([stem, segments[-2]], CASE WHEN len(a) >= 2 THEN a ELSE [] END, CASE WHEN len(b) >= 2 THEN b ELSE [] END) AS p
+  FROM (SELECT *, list_filter(string_split(stem, '_'), lambda p: p <> '') AS a, list_filter(string_split(segments[-2], '_'), lambda p: p <> '') AS b FROM parted)),
 matched AS (SELECT doc_id, score, len(list_filter(['document', 'tests', 'initial'], lambda w: len(list_filter(p, lambda x: x = w OR (length(x) >= 3 AND starts_with(w, x)) OR (length(w) >= 3 AND starts_with(x, w)))) > 0)) / 3.0 AS ratio FROM named)
 SELECT doc_id, round(score + CASE WHEN ratio >= 0.1 THEN ratio ELSE 0 END, 6) AS score FROM matched""")
 def stem_boost(spark, d):
     return rerank.query_boosts(_single(spark, d, "document tests initial"), S).select("doc_id", "score")
 
 
-@query(f"""WITH {_POOL} SELECT doc_id, 3.0 * CASE WHEN stem = 'doc_7' THEN 1.5 ELSE 1 END AS score FROM pool WHERE contains(path, 'doc_7') AND doc_id % 2 = 1 AND doc_id >= 5""")
+@query(f"""WITH {_POOL} SELECT doc_id, CAST(3.0 * CASE WHEN stem = 'doc_7' THEN 1.5 ELSE 1 END AS DOUBLE) AS score FROM pool WHERE contains(path, 'doc_7') AND doc_id % 2 = 1 AND doc_id >= 5""")
 def non_candidate_inject(spark, d):
     rows = sources.documents(spark, d).withColumn("text", F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("class doc_7:\n"), F.col("text"))).otherwise(F.col("text")))
     few = rows.where("doc_id < 5").select(F.lit(0).alias("query_id"), F.lit("doc_7").alias("query"), "doc_id", "path", "text", F.lit(1.0).alias("score"))

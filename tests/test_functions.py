@@ -52,4 +52,5 @@ def test_python_and_markdown_symbols():
     assert {("write", "put"), ("encode", "put"), ("Row", "put"), ("helper", "inner"), ("inner", "outer"), ("outer", None), ("Codec", "put")} <= refs
     heads = extract.from_markdown("# A\ntext\n```\n# no\n```\n## B\nend")
     assert [(h["name"], h["start_line"], h["end_line"]) for h in heads] == [("A", 1, 5), ("B", 6, 7)]
+    assert extract.from_markdown("no headings") == []
     assert extract.from_python("def broken(:\n  pass")[0]["name"] == "broken"
