@@ -9,6 +9,8 @@ from ..functions.text import opening_line
 from ..settings import MAX_CHUNK_CHARS, MIN_CHUNK_CHARS
 
 SPAN = "struct<first:int,last:int,bytes:bigint>"
+#: Bytes, as ISO-8859-1, of a UTF-8 character whose beginning or end a cut has taken.
+HALVED = r"^[\x80-\xBF]+|(?:[\xC0-\xFF]|[\xE0-\xFF][\x80-\xBF]|[\xF0-\xFF][\x80-\xBF]{2})\z"
 
 
 def lines_of(text: Column) -> Column:
@@ -51,7 +53,8 @@ def bounded(spans: DataFrame, most: int = MAX_CHUNK_CHARS, text: str = "text") -
     pieces = F.ceil(F.octet_length(text) / most).cast("int")
     numbered = spans.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1)))
     data = F.substring(F.col(text).cast("binary"), F.col("piece") * most + 1, F.lit(most))
-    return numbered.withColumn(text, F.translate(F.make_valid_utf8(data.cast("string")), "\N{REPLACEMENT CHARACTER}", ""))
+    whole = F.regexp_replace(F.decode(data, "ISO-8859-1"), HALVED, "")  # one character a byte
+    return numbered.withColumn(text, F.decode(F.encode(whole, "ISO-8859-1"), "UTF-8"))
 
 
 def sections(corpus: DataFrame, is_heading: Column, key: str = "doc_id") -> DataFrame:

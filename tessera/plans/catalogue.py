@@ -155,8 +155,7 @@ def line_windows(spark, d):
 
 @query("""SELECT doc_id, piece, least(500, n - piece * 500) AS n_bytes FROM (SELECT doc_id, octet_length(encode(text)) AS n, unnest(generate_series(0, greatest(CAST(ceil(octet_length(encode(text)) / 500.0) AS BIGINT), 1) - 1)) AS piece FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*'))""")
 def oversize_split(spark, d):
-    ascii_only = table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*\z"))
-    return chunking.bounded(ascii_only.select("doc_id", "text"), 500).select("doc_id", long("piece", "piece"), long(F.octet_length("text"), "n_bytes"))
+    return chunking.bounded(table(spark, d, "documents").select("doc_id", "text"), 500).select("doc_id", long("piece", "piece"), long(F.octet_length("text"), "n_bytes"))
 
 
 @query(f"""WITH {LINES}, totals AS (SELECT doc_id, max(n) AS total FROM lines GROUP BY doc_id)
