@@ -132,7 +132,7 @@ SELECT query, regexp_matches(trim(query), '{ft.SYMBOL_QUERY}') AS is_symbol, len
   CASE WHEN contains(query, '::') THEN string_split(query, '::')[-1] WHEN contains(query, '.') THEN string_split(query, '.')[-1] ELSE query END AS bare FROM asked""")
 def query_shape(spark, d):
     own = ["HandlerStack", "pkg::Widget", "_private", "how does parseConfig work", "a.b.c", "lower", "snake_case", "the XMLHttpRequest api"]
-    asked = table(spark, d, "benchmark").select(F.substring("text", 1, 40).alias("query")).unionAll(spark.range(1).select(F.explode(F.array(*map(F.lit, own)))))
+    asked = table(spark, d, "benchmark").select(F.col("text").alias("query")).unionAll(spark.range(1).select(F.explode(F.array(*map(F.lit, own)))))
     q = F.col("query")
     joined = lambda words: F.array_join(F.array_sort(words), " ")
     return asked.select(
@@ -267,7 +267,7 @@ def one_query(spark) -> DataFrame:
 
 
 def benchmark_queries(spark, d) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def ranks(df: DataFrame) -> DataFrame:
