@@ -92,7 +92,7 @@ sized AS (SELECT page_id, size, list_sort(list_transform(l[1:len(l) - 1], lambda
 SELECT page_id, size >= 16384 AND (len(s) < 3 OR coalesce(s[len(s) // 2 + 1], 0) > 1000) AS generated FROM sized""")
 def generated_probe(spark, d):
     html = F.regexp_replace("html", "</p>|<li>", "\n")
-    rows = table(spark, d, "pages").select("page_id", F.octet_length("html").alias("size"), html.alias("html")).where(F.octet_length("html") <= fc.PROBE_BYTES)
+    rows = table(spark, d, "pages").select("page_id", F.octet_length("html").alias("size"), html.alias("html"))
     return rows.select("page_id", fc.is_generated(F.col("html"), F.col("size")).alias("generated"))
 
 
