@@ -112,17 +112,20 @@ def blocks(html: str) -> tuple[list[Block], str | None]:
         found_attributes = {} if closing or "=" not in mark and " hidden" not in mark else {a.lower(): (v or "").strip("\"'") for a, v in _ATTRIBUTE.findall(mark)}
         if tag == "html":
             lang = (found_attributes.get("lang") or "")[:2].lower() or lang
-        if not is_block and not found_attributes:
+        opened = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
+        if not is_block and not found_attributes and not opened:
             continue
         if closing:
-            close()
-            if any(t == tag for t, _, _ in stack[1:]):
-                while stack.pop()[0] != tag:
-                    pass
+            if is_block or stack[-1][1:] != stack[opened - 1][1:]:  # an inline end within one region ends no block
+                close()
+            if opened:
+                del stack[opened:]
             links = 0 if is_block else links
             continue
         kind = marked(tag, found_attributes, stack[-1][1])
         if not is_block and kind is None:
+            if opened:  # so that its end is not taken for that of the marked one around it
+                stack.append((tag, stack[-1][1], stack[-1][2]))
             continue
         close()
         tag_of_block = tag
