@@ -32,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: flo
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group that 80 percent similarity of 5-word shingles connects."""
-    groups = jaccard.similar_groups(docs, size=5, percent=80)
+    groups = jaccard.similar_groups(docs, size=5, percent=80, count_links=False)
     return without(docs, groups.where("component_id != doc_id"))
 
 

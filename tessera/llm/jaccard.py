@@ -11,6 +11,8 @@ Sets that are equal are one node. Nodes that share a signature are candidates. F
 compared with the others; then, for what that has not connected, nodes of different components under one signature are
 compared: as pairs where few share it, else in blocks against blocks that give spanning links only. No pair under a
 signature that could still connect two components stays uncompared.
+
+Similar sets are in one component, so links are counted there: block against block, each pair of a component's nodes once.
 """
 
 from __future__ import annotations
@@ -193,12 +195,47 @@ def block_links(group: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
-def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, bits: int = BITS) -> DataFrame:
-    """Rows (doc_id, text) to (doc_id, n_shingles, component_id, n_links), a row for each row.
+def partner_counts(group: pa.Table, percent: int) -> pa.Table:
+    """How many sets each set (columns key, part, q, t, shingles) of part q is similar to in part t, and the other way."""
+    keys, parts = group["key"].to_numpy(), group["part"].to_numpy()
+    q, t = group["q"][0].as_py(), group["t"][0].as_py()
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in group["shingles"].chunks for x in chunk]
+    sizes = np.array([len(s) for s in sets])
+    qs, ts = np.flatnonzero(parts == q), np.flatnonzero(parts == t)
+    counts = np.zeros(len(sets), np.int64)
+    if len(qs) and len(ts):
+        values, owners = np.concatenate([sets[k] for k in qs]), np.repeat(np.arange(len(qs)), sizes[qs])
+        order = np.argsort(values, kind="stable")
+        values, owners = values[order], owners[order]
+        for k in ts:
+            first, last = np.searchsorted(values, sets[k], "left"), np.searchsorted(values, sets[k], "right")
+            ends = np.cumsum(last - first)
+            at = np.repeat(first - (ends - (last - first)), last - first) + np.arange(ends[-1])
+            shared = np.bincount(owners[at], minlength=len(qs))
+            linked = qs[100 * shared >= percent * (sizes[qs] + sizes[k] - shared)]
+            counts[k] += len(linked) - (q == t)  # not with itself
+            if q != t:
+                counts[linked] += 1
+    return pa.table({"key": keys, "links": counts})
+
+
+def partners(roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, links) of all nodes (node, root): the number of other nodes of its component that each is similar to."""
+    sized = roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    inside = roots.join(sized, "root").select("root", F.col("node").alias("key"), "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    dealt = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("root", "key", "part", F.least("part", "other").alias("q"), F.greatest("part", "other").alias("t"))
+    count = lambda group: partner_counts(group, percent)
+    counted = dealt.join(sets, "key").groupBy("root", "q", "t").applyInArrow(count, "key bigint, links bigint")
+    return counted.groupBy("key").agg(F.sum("links").alias("links"))
+
+
+def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, bits: int = BITS, count_links: bool = True) -> DataFrame:
+    """Rows (doc_id, text) to (doc_id, n_shingles, component_id, n_links), a row for each row; n_links is null unless count_links.
 
     Two texts link when 100 * |intersection| >= percent * |union| of their sets of shingles of `size` words (lower case,
-    A-Z alone). component_id is the smallest doc_id reachable by links, itself included; n_links counts the links found
-    between different sets, of which a component has at least its spanning tree; equal sets are one node. Null and empty
+    A-Z alone). component_id is the smallest doc_id reachable by links, itself included; n_links counts
+    all different sets that a text's set links with; equal sets are one node. Null and empty
     texts have no shingles and are linked with nothing. Repeated rows stay and are copies of each other; null ids never
     name a component unless it has no other. Other columns are ignored. Sets are told apart by 64-bit digests.
     """
@@ -241,12 +278,13 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, bits: int
     blocks = asked.unionByName(against).join(sets, "key")
     compare = lambda group: block_links(group, percent)
     most = written(blocks.groupBy("signature", "q", "t").applyInArrow(compare, "a bigint, b bigint"), "links")
-    every = links.unionByName(more).unionByName(most).distinct()
     forest = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
     final = written(components(forest.unionByName(more).unionByName(most)), "roots")
-    degree = every.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
-    placed = described_docs.select("doc_id", "n_shingles", "key").join(final.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left")
-    placed = placed.select("doc_id", "n_shingles", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    degree = written(partners(final, sets, percent), "degrees") if count_links else None
+    placed = described_docs.select("doc_id", "n_shingles", "key").join(final.withColumnRenamed("node", "key"), "key", "left")
+    placed = placed.join(degree, "key", "left") if count_links else placed
+    n_links = F.coalesce("links", F.lit(0)) if count_links else F.lit(None)
+    placed = placed.select("doc_id", "n_shingles", F.coalesce("root", "key").alias("root"), n_links.cast("bigint").alias("n_links"))
     smallest = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("c")).where("c > 1").drop("c")
     return placed.join(smallest, "root", "left").select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"), "n_links")
 

@@ -1,0 +1,36 @@
+"""op6's n_links against brute force: the number of different sets that a text links with."""
+
+import random
+
+import pytest
+
+from tessera.llm import jaccard
+
+
+def grams(text, size=3):
+    w = text.lower().split()
+    return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1))
+
+
+def counted(texts, percent):
+    sets = [grams(t) for t in texts]
+    return {d: sum(100 * len(s & o) >= percent * len(s | o) for o in set(sets) - {s} if s) for d, s in enumerate(sets)}
+
+
+@pytest.mark.parametrize("block", [256, 8])
+def test_every_link_counts(docs_of, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "FEW", 6)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(7)
+    bases = [[f"w{rng.randrange(5000)}" for _ in range(120)] for _ in range(3)]
+    texts = [" ".join([*bases[0], f"end{k}"]) for k in range(3)]  # three texts, all similar: two links each
+    for base, n in ((bases[1], 40), (bases[2], 5)):
+        for _ in range(n):
+            copy = list(base)
+            for _ in range(rng.randrange(4)):
+                copy[rng.randrange(len(copy))] = f"edit{rng.randrange(9)}"
+            texts.append(" ".join(copy))
+    texts += [texts[0], "", "only one of these"]
+    got = {r.doc_id: r.n_links for r in jaccard.similar_groups(docs_of(texts), 3, 90, bits=1 << 20).collect()}
+    want = counted(texts, 90)
+    assert got == want and want[0] == want[1] == want[2] == 2 and max(want.values()) > 8
