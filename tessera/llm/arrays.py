@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 _FAR = 256
@@ -42,9 +44,9 @@ class Words:
         return self.raw[self.starts[k] : self.starts[k] + self.lengths[k]].tobytes()
 
 
-def words_of(texts: list[str], lower: bool = False, alnum: bool = False) -> Words:
+def words_of(texts: list[str] | list[bytes], lower: bool = False, alnum: bool = False) -> Words:
     """Words without ASCII white space, or (alnum) of ASCII lower-case letters, digits and what is outside ASCII."""
-    data = [t.encode() for t in texts]
+    data = [t.encode() if isinstance(t, str) else t for t in texts]
     joined = b"\n".join([*data, b""])
     raw = np.frombuffer(joined.lower() if lower else joined, np.uint8)
     inside = _ALNUM[raw] if alnum else ~_BLANK[raw]
@@ -64,6 +66,29 @@ def words_of(texts: list[str], lower: bool = False, alnum: bool = False) -> Word
     return Words(raw, starts, lengths, bounds, mixed(hashes))
 
 
+def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A string column's bytes and where its texts begin, and the last ends, in them, as they lie in memory; nulls are empty."""
+    size = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    if not len(column) or offsets is None:
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    begins = np.frombuffer(offsets, size)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), begins
+
+
+def texts_of(column: pa.Array, span: int) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts of a string column as bytes, about `span` of them at a time: the number of the first, and the texts.
+
+    A longer text comes alone, whole. Only what is yielded is copied.
+    """
+    raw, begins = utf8(column)
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(begins, begins[at] + span, "right")) - 1)
+        yield at, [raw[a:b].tobytes() for a, b in zip(begins[at:end], begins[at + 1 : end + 1], strict=True)]
+        at = end
+
+
 def batches_of(texts: list[str], span: int):
     """Ranges of texts of about so many characters; a longer text is a range of its own."""
     at = 0

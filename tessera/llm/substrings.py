@@ -1,257 +1,389 @@
 """Exact-substring dedup: bytes covered by a LENGTH-byte string that also starts earlier are removed.
 
-Suffixes are sorted a bucket at a time. The cover of sample positions is defined by content: of each window of LENGTH
-bytes, the position of its least GRAM-byte hash (the last of equals). Like a difference cover it guarantees that two
-equal windows hold a sample at the same offset, and it names that offset, so comparing two windows takes the bytes
-before their samples and the ranks of the suffixes that start at the samples. A bucket holds the windows whose sample
-has one hash; equal windows always meet in one.
-
-1. Hashes of samples are counted; those that occur twice or more set bits of a map of fixed size, which is broadcast.
-2. A second pass sends only windows whose sample's bit is set, as one piece of bytes for each sample.
-3. Buckets are sorted in blocks: suffixes at the samples by their bytes, what precedes them by reversed bytes. Classes of
-   equal suffixes of each length follow from the common prefixes of neighbours in those orders, two classes make the
-   class of a window, and every window of a class but the earliest is a copy.
-4. The copies' ranges go to their texts, which are read a third time.
-
-A bit set by chance sends a bucket of one window, which is no copy: the map's size changes cost only, never the result.
+Blockwise suffix sorting with a difference cover (covers.py), spread over a cluster:
+
+1. Suffixes are dealt to buckets. A window of LENGTH bytes belongs to the bucket of its least GRAM-byte hash (the last of
+   equals): equal windows have one bucket and one distance to that gram, whatever text they stand in. Windows whose bucket
+   no other window shares equal nothing; a map of fixed size of the hashes that occur twice or more tells most of them
+   where the text is read, and only the rest are sent, as one piece of bytes for each gram.
+2. A task gets whole buckets and works on blocks of them, bounded in bytes. Pieces that are the same bytes are told apart by
+   age at once. The windows of what is left are sorted bucket by bucket; ties longer than the cover's period are resolved by
+   the ranks of the cover's suffixes. Every window but the eldest of equals is a copy.
+3. A bucket that may hold more than Limits.hot pieces is split: its windows go by a 128-bit hash of all their bytes instead, of
+   which each task sends only the eldest it has seen; the others are copies already. So no key holds more rows than there
+   are tasks, and a block holds Limits.block bytes and one bucket at most.
+4. The copies' ranges go to their texts. Texts without any are finished where they are read.
+
+Marks by chance send a bucket of one piece or take a bucket by the other way: the maps change costs only, never the result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .arrays import batches_of, mixed, spread
-from .bitmap import BITS, held, repeated_bits
+from .arrays import mixed, spread, texts_of
+from .bitmap import bits_for, counted, held
 from .common import table, written
+from .covers import Suffixes
 
 LENGTH, GRAM = 100, 24
-#: Bytes of text that are hashed at a time (positions must fit 24 bits); samples sorted at a time.
-SPAN, BLOCK = 1 << 22, 1 << 16
 _LOW = np.uint64(0xFFFFFF)
+NO_ID = -(2**63)
+#: Rows between tasks: a piece (lead: the bytes before its gram), the eldest window of a hash (more: its other half), or the
+#: range of a copy (more: its end).
+WINDOW, RANGE = -1, -2
+SENT = "bucket bigint, lead int, more bigint, id bigint, text_key bigint, first bigint, piece binary"
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Bytes of text hashed at a time (under 2 ** 24); bytes of pieces sorted at a time; pieces of a bucket that is not split
+    (under 65,535); windows that are sorted at a time, and that a task holds of split buckets before it sends the eldest. They
+    bound memory, not results."""
+
+    span: int = 1 << 19
+    block: int = 1 << 19
+    hot: int = 65_534
+    held: int = 1 << 18
+
+
+class Grams:
+    """The windows of some texts by their least grams: windows that start from first to last have theirs at `at`."""
+
+    def __init__(self, texts: list[bytes]):
+        self.raw = raw = np.frombuffer(b"".join(texts), np.uint8)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.begins = np.cumsum(sizes) - sizes
+        none = np.zeros(0, np.int64)
+        self.owner = self.first = self.last = self.at = none
+        self.hash = self.every = none.astype(np.uint64)
+        if len(raw) < LENGTH:
+            return
+        n = len(raw) - GRAM + 1
+        words = np.zeros(len(raw) - 7, np.uint64)
+        for k in range(8):
+            words |= raw[k : len(raw) - 7 + k].astype(np.uint64) << np.uint64(8 * k)
+        hashes = words[:n] * np.uint64(0x9E3779B97F4A7C15)
+        hashes ^= hashes >> np.uint64(29)
+        hashes = (hashes + words[8 : n + 8]) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes ^= hashes >> np.uint64(31)
+        hashes = mixed(hashes + words[16 : n + 16])
+        low = (hashes & ~_LOW) | (_LOW - np.arange(n, dtype=np.uint64))
+        width, reach = LENGTH - GRAM + 1, 1
+        while 2 * reach <= width:
+            low = np.minimum(low[:-reach], low[reach:])
+            reach *= 2
+        rest = width - reach
+        low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
+        ends = np.repeat(self.begins + sizes, sizes)
+        starts = np.flatnonzero(np.arange(len(low)) + LENGTH <= ends[: len(low)])
+        if not len(starts):
+            return
+        at = (_LOW - (low[starts] & _LOW)).astype(np.int64)
+        owner = np.searchsorted(self.begins, starts, "right") - 1
+        new = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
+        stop = np.append(new[1:], len(starts)) - 1
+        self.every, self.owner, self.hash, self.first, self.last, self.at = hashes, owner[new], hashes[at[new]], starts[new], starts[stop], at[new]
+
+    def window_hashes(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits for each window, from the grams that cover it."""
+        a = b = np.zeros(len(starts), np.uint64)
+        for k in (*range(0, LENGTH - GRAM, GRAM), LENGTH - GRAM):
+            h = self.every[starts + k]
+            a, b = mixed(a + h + np.uint64(k + 1)), mixed((b ^ h) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k))
+        return a, b
+
+
+def text_key(data: bytes) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(data)).view(np.int64))
+
+
+def parts_of(column: pa.Array, span: int) -> Iterator[tuple[list[int], list[int], list[bytes], list[bytes]]]:
+    """(rows, offsets, parts, whole texts) to work on together; a text over span goes in parts that overlap by LENGTH - 1, so
+    that each window is in exactly one part."""
+    for at, texts in texts_of(column, span):
+        if len(texts) == 1 and len(texts[0]) > span:
+            for k in range(0, max(len(texts[0]) - LENGTH + 1, 1), span):
+                yield [at], [k], [texts[0][k : k + span + LENGTH - 1]], texts
+        else:
+            yield list(range(at, at + len(texts))), [0] * len(texts), texts, texts
+
+
+def gram_hashes(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for _, _, parts, _ in parts_of(batch.column(0), span):
+            yield Grams(parts).hash
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """(id, text): doc_id as a number, a null as the least."""
+    if not isinstance(docs.schema["doc_id"].dataType, T.ByteType | T.ShortType | T.IntegerType | T.LongType):
+        raise TypeError("doc_id must be of an integer type: its order says which text is earlier")
+    return docs.select(own_id(F.col("doc_id")).alias("id"), "text")
+
+
+def own_id(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("bigint"), F.lit(NO_ID))
+
+
+class Eldest:
+    """The eldest window of each hash that a task has seen of split buckets, and the ranges of the others."""
+
+    def __init__(self, held: int):
+        self.held = held
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Columns: two hashes, id, text_key, start."""
+        for a in range(0, len(columns[0]), self.held):
+            self.parts.append(tuple(c[a : a + self.held] for c in columns))
+            self.size += len(self.parts[-1][0])
+            if self.size >= self.held:
+                yield from self.settled(self.held // 2)
+
+    def settled(self, most: int) -> Iterator[pa.RecordBatch]:
+        """The ranges of copies; the eldest too if there are more than `most`."""
+        if not self.size:
+            return
+        a, b, ids, keys, starts = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((starts, keys, ids, b, a))
+        a, b, ids, keys, starts = (x[order] for x in (a, b, ids, keys, starts))
+        eldest = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+        copy = ~eldest
+        same = np.append(False, (ids[1:] == ids[:-1]) & (keys[1:] == keys[:-1]) & (starts[1:] == starts[:-1]))
+        yield ranges_of(ids, keys, starts, copy & ~same)  # a repeated row is not earlier than itself
+        a, b, ids, keys, starts = (x[eldest] for x in (a, b, ids, keys, starts))
+        if len(a) > most:
+            yield sent_batch(a.view(np.int64), np.full(len(a), WINDOW), b.view(np.int64), ids, keys, starts)
+            self.parts, self.size = [], 0
+        else:
+            self.parts, self.size = [(a, b, ids, keys, starts)], len(a)
 
 
-def samples(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(raw, begins, owner, hash, first, last, at): windows that start from first to last have their sample at `at`."""
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    begins = np.cumsum(sizes) - sizes
-    none = np.zeros(0, np.int64)
-    if len(raw) < length:
-        return raw, begins, none, none.astype(np.uint64), none, none, none
-    n = len(raw) - GRAM + 1
-    words = np.zeros(len(raw) - 7, np.uint64)
-    for k in range(8):
-        words |= raw[k : len(raw) - 7 + k].astype(np.uint64) << np.uint64(8 * k)
-    hashes = words[:n] * np.uint64(0x9E3779B97F4A7C15)
-    hashes ^= hashes >> np.uint64(29)
-    hashes = (hashes + words[8 : n + 8]) * np.uint64(0xBF58476D1CE4E5B9)
-    hashes ^= hashes >> np.uint64(31)
-    hashes = mixed(hashes + words[16 : n + 16])
-    low = (hashes & ~_LOW) | (_LOW - np.arange(n, dtype=np.uint64))
-    width, reach = length - GRAM + 1, 1
-    while 2 * reach <= width:
-        low = np.minimum(low[:-reach], low[reach:])
-        reach *= 2
-    rest = width - reach
-    low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
-    ends = np.repeat(begins + sizes, sizes)
-    starts = np.flatnonzero(np.arange(len(low)) + length <= ends[: len(low)])
-    at = (_LOW - (low[starts] & _LOW)).astype(np.int64)
-    owner = np.searchsorted(begins, starts, "right") - 1
-    new = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
-    stop = np.append(new[1:], len(starts)) - 1
-    return raw, begins, owner[new], hashes[at[new]], starts[new], starts[stop], at[new]
-
-
-def sized(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts of a batch as bytes, some at a time: the number of the first, and the texts."""
-    texts = [(x or "").encode() for x in batch.column(column).to_pylist()]
-    for at, end in batches_of(texts, SPAN):
-        yield at, texts[at:end]
-
-
-def long_parts(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """A text in parts that fit SPAN and overlap by LENGTH - 1, so that each window is in exactly one part."""
-    for k in range(0, max(len(data) - LENGTH + 1, 1), SPAN):
-        yield k, data[k : k + SPAN + LENGTH - 1]
-
-
-def parts_of(batch: pa.RecordBatch, column: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
-    """(row, offset, bytes) lists of parts to hash together."""
-    for at, texts in sized(batch, column):
-        if len(texts) == 1 and len(texts[0]) > SPAN:
-            for offset, part in long_parts(texts[0]):
-                yield [at], [offset], [part]
-        else:
-            yield list(range(at, at + len(texts))), [0] * len(texts), texts
+def merged(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows' starts to (ids, keys, first byte, end) of runs of neighbours in one text."""
+    order = np.lexsort((starts, keys, ids))
+    ids, keys, starts = ids[order], keys[order], starts[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (starts[1:] > starts[:-1] + 1)
+    at = np.flatnonzero(new)
+    return ids[at], keys[at], starts[at], starts[np.append(at[1:], len(ids)) - 1] + LENGTH if len(at) else starts[:0]
 
 
-def repeated_map(docs: DataFrame, bits: int) -> bytes:
-    """A map of `bits` bits in which those of sample hashes that occur twice or more are set."""
+def ranges_of(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, copy: np.ndarray) -> pa.RecordBatch:
+    ids, keys, first, end = merged(ids[copy], keys[copy], starts[copy])
+    return sent_batch(mixed(keys.view(np.uint64)).view(np.int64), np.full(len(ids), RANGE), end, ids, keys, first)
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, texts in parts_of(batch, 0):
-                yield pa.RecordBatch.from_arrays([pa.array(samples(texts)[3].view(np.int64))], names=["h"])
 
-    return repeated_bits(docs.select("text").mapInArrow(hashes, "h bigint"), bits)
+def sent_batch(bucket, lead, more, ids, keys, first, piece: pa.Array | None = None) -> pa.RecordBatch:
+    piece = pa.nulls(len(bucket), pa.binary()) if piece is None else piece
+    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(lead.astype(np.int32)), *map(pa.array, (more, ids, keys, first)), piece], names=[x.split()[0] for x in SENT.split(", ")])
 
 
-def pieces(docs: DataFrame, bits: bytes) -> DataFrame:
-    """Rows (h, doc_id, text_key, first, lead, piece): windows from byte first on, whose sample is lead bytes on in piece."""
-    shipped = docs.sparkSession.sparkContext.broadcast(bits)
-    names = ["h", "doc_id", "text_key", "first", "lead", "piece"]
+def binaries(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(spread(raw, starts, sizes))])
+
+
+def sent(docs: DataFrame, repeated: bytes, hot: bytes, limits: Limits) -> DataFrame:
+    """Rows SENT of (id, text): pieces of buckets, the eldest windows of split buckets, and ranges that are copies already."""
+    shipped = docs.sparkSession.sparkContext.broadcast((repeated, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(shipped.value, np.uint8)
+        known, split = (np.frombuffer(x, np.uint8) for x in shipped.value)
+        eldest = Eldest(limits.held)
         for batch in batches:
-            for rows, offsets, texts in parts_of(batch, 1):
-                raw, begins, owner, h, first, last, at = samples(texts)
-                keep = np.flatnonzero(held(known, h))
-                owner, h, first, last, at = owner[keep], h[keep], first[keep], last[keep], at[keep]
-                keys = np.array([text_key(x) for x in batch.column(1).take(pa.array(rows)).to_pylist()], np.int64)
-                begin = np.array(offsets)[owner] - begins[owner]
-                for a in range(0, len(keep), 1 << 15):
-                    cut = slice(a, a + (1 << 15))
-                    sizes = last[cut] - first[cut] + LENGTH
-                    data = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.py_buffer(spread(raw, first[cut], sizes))])
-                    columns = [pa.array(h[cut].view(np.int64)), batch.column(0).take(pa.array(np.array(rows)[owner[cut]])), pa.array(keys[owner[cut]]), pa.array(first[cut] + begin[cut]), pa.array((at[cut] - first[cut]).astype(np.int32)), data]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"h bigint, doc_id {id_type}, text_key bigint, first bigint, lead int, piece binary")
-
-
-def text_key(text: str | None) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest((text or "").encode())).view(np.int64))
-
-
-def ordered(matrix: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of rows by (h, bytes), and for each rank the bytes it shares with the one before, -1 if h differs."""
-    keyed = np.concatenate([h.astype(">u8").view(np.uint8).reshape(-1, 8), matrix], axis=1)
-    order = np.argsort(np.ascontiguousarray(keyed).view(f"V{keyed.shape[1]}").ravel().view(f"S{keyed.shape[1]}"), kind="stable")
-    differ = keyed[order[1:]] != keyed[order[:-1]]
-    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), keyed.shape[1]) - 8
-    ranks = np.empty(len(order), np.int64)
-    ranks[order] = np.arange(len(order))
-    return ranks, np.concatenate([[-1], np.where(shared < 0, -1, shared)])
-
-
-def copies(h: np.ndarray, first: np.ndarray, lead: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(piece, start, stop) of the byte ranges that copies cover; the pieces are in order of age, whole buckets."""
-    m, reach = len(h), LENGTH - GRAM
+            ids = batch.column(0).to_numpy()
+            for rows, offsets, parts, texts in parts_of(batch.column(1), limits.span):
+                g = Grams(parts)
+                keep = np.flatnonzero(held(known, g.hash))
+                if not len(keep):
+                    continue
+                own = g.owner[keep]
+                keys = np.array([text_key(t) for t in texts], np.int64)[own] if len(texts) > 1 else np.full(len(keep), text_key(texts[0]))
+                base = np.array(offsets)[own] - g.begins[own]
+                whose, hash_, first, last, at = ids[rows][own], g.hash[keep], g.first[keep], g.last[keep], g.at[keep]
+                many = held(split, hash_)
+                if many.any():
+                    count = (last - first + 1)[many]
+                    ends = np.cumsum(count)
+                    starts = np.repeat(first[many] - (ends - count), count) + np.arange(ends[-1])
+                    spans = [np.repeat(x[many], count) for x in (whose, keys, base)]
+                    yield from eldest.add(*g.window_hashes(starts), spans[0], spans[1], starts + spans[2])
+                few = np.flatnonzero(~many)
+                for a in range(0, len(few), 1 << 13):
+                    k = few[a : a + (1 << 13)]
+                    data = binaries(g.raw, first[k], last[k] - first[k] + LENGTH)
+                    yield sent_batch(hash_[k].view(np.int64), at[k] - first[k], np.zeros(len(k), np.int64), whose[k], keys[k], first[k] + base[k], data)
+        yield from eldest.settled(-1)
+
+    return docs.mapInArrow(run, SENT)
+
+
+def copied_pieces(h: np.ndarray, ids: np.ndarray, keys: np.ndarray, first: np.ndarray, lead: np.ndarray, piece: pa.Array, held: int) -> Iterator[pa.RecordBatch]:
+    """The ranges of the windows of pieces that are copies; whole buckets."""
+    order = np.lexsort((first, keys, ids))
+    same = np.append(False, (np.diff(ids[order]) == 0) & (np.diff(keys[order]) == 0) & (np.diff(first[order]) == 0))
+    order = order[~same]  # repeated rows are one text
+    h, ids, keys, first, lead = (x[order] for x in (h, ids, keys, first, lead))
+    offsets = np.frombuffer(piece.buffers()[1], np.int32)[piece.offset : piece.offset + len(piece) + 1].astype(np.int64)
+    starts, sizes = offsets[:-1][order], np.diff(offsets)[order]
+    flat = spread(np.frombuffer(piece.buffers()[2], np.uint8), starts, sizes)
     at = np.cumsum(sizes) - sizes
-    padded = np.concatenate([np.zeros(reach, np.uint8), flat, np.zeros(LENGTH, np.uint8)])
-    column = np.arange(LENGTH)
-    right = padded[(at + lead + reach)[:, None] + column] * (column < (sizes - lead)[:, None])
-    column = np.arange(reach)
-    left = padded[(at + lead + reach - 1)[:, None] - column] * (column < lead[:, None])
-    (rank_r, same_r), (rank_l, same_l) = ordered(right, h), ordered(left, h)
-    place = np.arange(m)
-    copied = np.zeros((m, reach + 2), bool)  # by the sample's offset in the window, with an edge on both sides
-    low = lead - (sizes - LENGTH)
-    for d in range(reach + 1):
-        mine = np.flatnonzero((low <= d) & (d <= lead))
-        if len(mine) < 2:
-            continue
-        by_right = np.maximum.accumulate(np.where(same_r < LENGTH - d, place, 0))[rank_r[mine]]
-        by_left = np.maximum.accumulate(np.where(same_l < d, place, 0))[rank_l[mine]]
-        key = by_right * m + by_left
-        _, oldest = np.unique(key, return_index=True)
-        again = np.ones(len(mine), bool)
-        again[oldest] = False
-        copied[mine[again], d + 1] = True
-    edges = np.diff(copied.view(np.int8), axis=1, append=0)
-    who, begin = np.nonzero(edges == 1)
-    _, end = np.nonzero(edges == -1)
-    # window offsets begin .. end - 1: the latest window has the least offset
-    return who, first[who] + lead[who] - (end - 1), first[who] + lead[who] - begin + LENGTH
-
-
-def copied_ranges(sent: DataFrame) -> DataFrame:
-    """Rows of pieces() to (doc_id, text_key, start, stop): byte ranges that are copies of something earlier."""
-    id_type = sent.schema["doc_id"].dataType
+    # equal pieces: all but the eldest are copies as a whole
+    place = np.arange(len(flat)) - np.repeat(at, sizes)
+    digest = np.add.reduceat((flat.astype(np.uint64) + np.uint64(1)) * mixed(place.astype(np.uint64) + np.uint64(7)), at)
+    digest = mixed(digest + sizes.astype(np.uint64)) + mixed(h + lead.astype(np.uint64))
+    _, eldest = np.unique(digest, return_index=True)
+    whole = np.ones(len(h), bool)
+    whole[eldest] = False
+    ends = first + sizes
+    yield sent_batch(ids[whole], np.full(whole.sum(), RANGE), ends[whole], ids[whole], keys[whole], first[whole])
+    left = np.flatnonzero(~whole)
+    _, bucket, count = np.unique(h[left], return_inverse=True, return_counts=True)
+    left, bucket = left[count[bucket] > 1], bucket[count[bucket] > 1]  # a bucket of one piece has no equal windows
+    if not len(left):
+        return
+    flat = spread(flat, at[left], sizes[left])
+    n = sizes[left] - LENGTH + 1
+    begin, before = np.cumsum(sizes[left]) - sizes[left], lead[left]
+    suffixes = Suffixes(flat, LENGTH)
+    # windows at different distances to the gram differ: many are sorted a range of distances at a time
+    step = max(1, held * (LENGTH - GRAM + 1) // int(n.sum()))
+    for low in range(0, LENGTH - GRAM + 1, step):
+        first_window = np.maximum(0, before - (low + step - 1))
+        count = np.maximum(0, np.minimum(n, before - low + 1) - first_window)
+        own = np.repeat(np.arange(len(left)), count)
+        windows = np.arange(len(own)) - np.repeat(np.cumsum(count) - count - first_window, count)  # places in their pieces
+        copy = suffixes.repeats(begin[own] + windows, bucket[own] * np.int64(LENGTH) + before[own] - windows)
+        yield ranges_of(ids[left][own], keys[left][own], first[left][own] + windows, copy)
+
+
+def copied_ranges(rows: DataFrame, limits: Limits) -> DataFrame:
+    """Rows SENT to (id, text_key, start, stop): byte ranges that are copies of something earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        count = 0
-
-        def solved(rows: pa.Table) -> pa.RecordBatch:
-            ids = rows["doc_id"].combine_chunks()
-            number = np.array(ids.fill_null(-(2**63)) if pa.types.is_integer(ids.type) else ids.rank("ascending", null_placement="at_start"))
-            order = np.lexsort((rows["first"].to_numpy(), rows["text_key"].to_numpy(), number))
-            rows = rows.take(pa.array(order))
-            piece = rows["piece"].combine_chunks()
-            offsets = np.frombuffer(piece.buffers()[1], np.int32)[piece.offset : piece.offset + len(piece) + 1].astype(np.int64)
-            flat = np.frombuffer(piece.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(piece) else np.zeros(0, np.uint8)
-            who, start, stop = copies(rows["h"].to_numpy().view(np.uint64), rows["first"].to_numpy(), rows["lead"].to_numpy().astype(np.int64), np.diff(offsets), flat)
-            picked = pa.array(who)
-            return pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks().take(picked), rows["text_key"].combine_chunks().take(picked), pa.array(start), pa.array(stop)], names=["doc_id", "text_key", "start", "stop"])
+        parts: list[pa.RecordBatch] = []
+        size = 0
+
+        def solved(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            rows = rows.combine_chunks()
+            kind = np.minimum(rows["lead"].to_numpy(), 0)
+            for which in (0, WINDOW, RANGE):
+                mine = rows if (kind == which).all() else rows.filter(pa.array(kind == which))
+                if not mine.num_rows:
+                    continue
+                column = lambda name: mine[name].to_numpy()  # noqa: B023, E731
+                if which == 0:
+                    out = copied_pieces(column("bucket").view(np.uint64), column("id"), column("text_key"), column("first"), column("lead").astype(np.int64), mine["piece"].combine_chunks(), limits.held)
+                elif which == WINDOW:
+                    eldest = Eldest(mine.num_rows)
+                    eldest.parts, eldest.size = [(column("bucket").view(np.uint64), column("more").view(np.uint64), column("id"), column("text_key"), column("first"))], mine.num_rows
+                    out = eldest.settled(mine.num_rows)
+                else:
+                    out = mine.to_batches()
+                for x in out:
+                    yield pa.RecordBatch.from_arrays([x.column(k) for k in (3, 4, 5, 2)], names=["id", "text_key", "start", "stop"])
 
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                count += batch.num_rows
-            if count >= BLOCK:
-                rows = pa.Table.from_batches(held)
-                h = rows["h"].to_numpy()
-                cut = int(np.searchsorted(h, h[-1], "left"))  # the last bucket may go on
-                if cut:
-                    yield solved(rows.slice(0, cut))
-                    held, count = rows.slice(cut).to_batches(), rows.num_rows - cut
-        if held:
-            yield solved(pa.Table.from_batches(held))
-
-    buckets = sent.repartition("h").sortWithinPartitions("h")
-    return buckets.mapInArrow(run, f"doc_id {id_type.simpleString()}, text_key bigint, start bigint, stop bigint")
-
-
-def dedup(docs: DataFrame, keep_bytes: bool = True, bits: int = BITS) -> DataFrame:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                parts.append(part)
+                size += part.num_rows * 40 + int(np.diff(np.frombuffer(part.column(6).buffers()[1], np.int32)[part.column(6).offset :][[0, part.num_rows]])[0])
+                if size >= limits.block:
+                    rows = pa.Table.from_batches(parts)
+                    bucket = rows["bucket"].to_numpy()
+                    cut = int(np.searchsorted(bucket, bucket[-1], "left"))  # the last bucket may go on
+                    if cut:
+                        yield from solved(rows.slice(0, cut))
+                        parts = rows.slice(cut).to_batches()
+                        size = sum(p.num_rows * 100 for p in parts)
+        if parts:
+            yield from solved(pa.Table.from_batches(parts))
+
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "id bigint, text_key bigint, start bigint, stop bigint")
+
+
+def without_ranges(text: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[int, int, int, str, bytes]:
+    """(n_bytes, n_removed, n_spans, digest of the rest, the rest)."""
+    order = np.argsort(starts, kind="stable")
+    starts, furthest = starts[order], np.maximum.accumulate(stops[order])
+    new = np.append(True, starts[1:] > furthest[:-1]) if len(starts) else np.zeros(0, bool)
+    first, last = starts[new], furthest[np.append(np.flatnonzero(new)[1:], len(starts)) - 1] if len(starts) else starts
+    kept = b"".join([text[a:b] for a, b in zip([0, *last], [*first, len(text)], strict=True)])
+    return len(text), len(text) - len(kept), len(first), hashlib.sha256(kept).hexdigest(), kept
+
+
+def dedup(docs: DataFrame, keep_bytes: bool = True, bits: int | None = None, limits: Limits = Limits()) -> DataFrame:
     """Rows (doc_id, text) to (doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]), a row for each row.
 
-    Earlier means a smaller doc_id (null is smallest), then, for rows with one id and different texts, a smaller digest of
-    the text, then an earlier start; matches never cross texts. Rows with one id and one text are one text and get the
-    same result. A null text counts as empty. Texts under LENGTH bytes stay whole. Other columns are ignored.
+    Earlier means a smaller doc_id (an integer; null is smallest), then, for rows with one id and different texts, a smaller
+    digest of the text, then an earlier start; matches never cross texts. Rows with one id and one text are one text: nothing of
+    it is earlier than itself, and each row gets the same result. A null text counts as empty. Texts under LENGTH bytes stay
+    whole; so does an empty table. Other columns are ignored. `bits` is the size of the maps, by default from the size of docs.
     """
-    docs = docs.select("doc_id", "text")
-    sent = pieces(docs, repeated_map(docs, bits))
-    ranges = copied_ranges(sent).where("start < stop").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    texts = identified(docs)
+    bits = bits or bits_for(docs)
+    repeated, hot = counted(texts.select("text"), lambda b: gram_hashes(b, limits.span), bits, (2, limits.hot + 1))
+    ranges = copied_ranges(sent(texts, repeated, hot, limits), limits).groupBy("id", "text_key").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     ranges = written(ranges, "copied")
+    row_hash = lambda ids, keys: mixed(ids.view(np.uint64) * np.uint64(3) + mixed(keys.view(np.uint64)))
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def row_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(text_key, batch.column(1).to_pylist()), pa.int64())], names=["doc_id", "text", "text_key"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield row_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+
+    [touched] = counted(ranges.select("id", "text_key"), row_hashes, bits, (1,))
+    shipped = docs.sparkSession.sparkContext.broadcast(touched)
+    kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()][: 1 + keep_bytes]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 1 + len(kinds)]
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_bytes
+    nothing = np.zeros(0, np.int64)
+
+    def finished(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=names)
+
+    def read(touched_only: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            marks = np.frombuffer(shipped.value, np.uint8)
+            for batch in batches:
+                for at, some in texts_of(batch.column(1), 4 * limits.span):
+                    ids = batch.column(0).slice(at, len(some))
+                    keys = np.array([text_key(t) for t in some], np.int64)
+                    there = held(marks, row_hash(ids.to_numpy(), keys)) == touched_only
+                    chosen, which = ids.filter(pa.array(there)), np.flatnonzero(there)
+                    if touched_only:
+                        yield pa.RecordBatch.from_arrays([chosen, pa.array([some[k] for k in which], pa.binary()), pa.array(keys[which])], names=["id", "data", "text_key"])
+                    else:
+                        yield finished(chosen, [without_ranges(some[k], nothing, nothing) for k in which])
+
+        return run
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, spans in zip(batch.column(1), batch.column(2), strict=True):
-                data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-                edge = np.zeros(len(data) + 1, np.int64)
-                if spans.is_valid:
-                    values = spans.values
-                    np.add.at(edge, values.field("start").to_numpy(), 1)
-                    np.add.at(edge, values.field("stop").to_numpy(), -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                kept = data[~gone].tobytes()
-                row = (len(data), int(gone.sum()), int((np.diff(gone.view(np.int8), prepend=np.int8(0)) == 1).sum()), hashlib.sha256(kept).hexdigest())
-                out.append((*row, kept) if keep_bytes else row)
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()][: 1 + keep_bytes]
-            columns = [pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * len(kinds), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 1 + len(kinds)])
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    known = docs.mapInArrow(keyed, f"doc_id {id_type}, text string, text_key bigint")
-    mine = ranges.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "ranges")
-    joined = known.join(mine, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left").select("doc_id", "text", "ranges")
-    return joined.mapInArrow(run, f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_bytes)
+            for at, some in texts_of(batch.column(1), 4 * limits.span):
+                out = []
+                for k, text in enumerate(some, at):
+                    spans = [c[k].values.to_numpy() if c[k].is_valid else nothing for c in batch.columns[2:]]
+                    out.append(without_ranges(text, *spans))
+                yield finished(batch.column(0).slice(at, len(some)), out)
+
+    whole = texts.mapInArrow(read(False), schema)
+    marked = texts.mapInArrow(read(True), "id bigint, data binary, text_key bigint")
+    joined = marked.join(ranges, ["id", "text_key"], "left").select("id", "data", "starts", "stops").mapInArrow(cut, schema)
+    id_type = docs.schema["doc_id"].dataType
+    return whole.unionByName(joined).withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).cast(id_type))
 
 
 def op7_substrings(spark, sf_dir: str) -> DataFrame:
