@@ -1,7 +1,8 @@
 """Chat formatting: typed content parts flattened to text with ordered placeholders, a loss mask and attachments.
 
 A visitor handles each part by its kind: text is escaped, an image, audio or document part becomes a placeholder
-whose reference and expanded token count are recorded in order. A turn reads
+whose reference and expanded token count are recorded in order. Text parts that follow each other are one run of text and
+are escaped together, so that no control string can be put together from several parts. A turn reads
 ``<|start|>role<|body|>parts<|end|>``. Control strings inside texts get one backslash after their first character
 (one more if they have some already), so escaping is reversible and no text can open or close a turn.
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound, running, table
 
 BLOCK_TURNS = 64
 START, BODY, END = "<|start|>", "<|body|>", "<|end|>"
@@ -57,17 +58,33 @@ def visited(part: Column) -> Column:
     )
 
 
+def runs(parts: Column) -> Column:
+    """Parts with those of text that follow each other joined: what each run becomes in the text, in order."""
+    plain = F.transform(parts, lambda p: p.withField("kind", F.coalesce(p["kind"], F.lit("text"))))
+
+    def grouped(all_: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(all_) - 1), lambda i: (i == 0) | (F.get(all_, i)["kind"] != "text") | (F.coalesce(F.get(all_, i - 1)["kind"], F.lit("")) != "text"))
+        ends = lambda s: F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(all_)))
+        run = lambda a, b: F.slice(all_, a + 1, b - a)
+        text = lambda r: F.array_join(F.transform(r, lambda p: F.coalesce(p["text"], F.lit(""))), "")
+        joined = lambda r: bound(r, lambda x: F.get(x, 0).withField("text", text(x)))
+        return bound(starts, lambda s: F.zip_with(s, ends(s), lambda a, b: visited(joined(run(a, b)))))
+
+    kinds = "array<struct<shown:string,is_text:boolean,kind:string,ref:string,tokens:bigint>>"
+    return F.when(F.size(parts) > 0, bound(plain, grouped)).otherwise(F.array().cast(kinds))
+
+
 def format_blocks(turns: DataFrame, trained_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """Rows (conv_id, turn, role, parts) to rows (conv_id, block, n_turns, formatted, n_chars, loss_spans, attachments).
 
-    loss_spans holds (start, size) in code points of formatted, one for each text part of a trained role, in order.
+    loss_spans holds (start, size) in code points of formatted, one for each run of text of a trained role, in order.
     attachments holds (kind, ref, tokens) in the order of their placeholders. Turns are in the order of turn, nulls first;
     equal turn numbers and repeated rows all stay, by role and parts. A null role, text or parts array counts as
     empty; a null conv_id is a conversation of its own. Other columns are ignored. No rows give no rows.
     """
     size = lambda c: F.length(c).cast("bigint")
     role = F.coalesce(F.col("role"), F.lit(""))
-    visits = F.transform(F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>")), visited)
+    visits = runs(F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>")))
     head = F.concat(F.lit(START), escaped(role), F.lit(BODY))
     turn = turns.select("conv_id", "turn", role.alias("role"), "parts").select(
         "conv_id",
@@ -86,27 +103,20 @@ def format_blocks(turns: DataFrame, trained_roles: tuple[str, ...] = ("assistant
             ),
         )
     )
-    spans = "array<struct<start:bigint,size:bigint>>"
-    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(spans).alias("spans"))
-    mask = F.aggregate(
-        "pieces",
-        empty,
-        lambda s, p: F.struct(
-            (s["at"] + size(p["text"])).alias("at"),
-            F.when(p["is_loss"], F.concat(s["spans"], F.array(F.struct(s["at"].alias("start"), size(p["text"]).alias("size"))))).otherwise(s["spans"]).alias("spans"),
-        ),
-    )
+    before = running(F.transform("pieces", lambda p: size(p["text"])), lambda a, b: a + b, F.lit(0).cast("bigint"))
+    starts = F.zip_with("pieces", before, lambda p, at: F.struct(p["is_loss"].alias("is_loss"), at.alias("start"), size(p["text"]).alias("size")))
+    spans = F.transform(F.filter(starts, lambda x: x["is_loss"]), lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size")))
     attached = F.transform(F.filter(F.flatten(F.transform("ts", lambda t: t["visits"])), lambda v: ~v["is_text"]), lambda v: F.struct(v["kind"].alias("kind"), v["ref"].alias("ref"), v["tokens"].alias("tokens")))
     return (
         blocks.withColumn("pieces", pieces)
-        .withColumn("mask", mask)
+        .withColumn("formatted", F.array_join(F.transform("pieces", lambda p: p["text"]), ""))
         .select(
             "conv_id",
             "block",
             F.size("ts").cast("bigint").alias("n_turns"),
-            F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"),
-            F.col("mask.at").alias("n_chars"),
-            F.col("mask.spans").alias("loss_spans"),
+            "formatted",
+            size(F.col("formatted")).alias("n_chars"),
+            spans.alias("loss_spans"),
             attached.alias("attachments"),
         )
     )
@@ -118,21 +128,14 @@ def assembled(blocks: DataFrame) -> DataFrame:
     The whole text of a conversation is one value here, by the nature of the result.
     """
     gathered = blocks.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "n_turns", "formatted", "n_chars", "loss_spans", "attachments"))).alias("bs"))
-    spans = "array<struct<start:bigint,size:bigint>>"
-    moved = F.aggregate(
-        "bs",
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(spans).alias("spans")),
-        lambda s, b: F.struct(
-            (s["at"] + b["n_chars"]).alias("at"),
-            F.concat(s["spans"], F.transform(b["loss_spans"], lambda x: F.struct((x["start"] + s["at"]).alias("start"), x["size"].alias("size")))).alias("spans"),
-        ),
-    )
-    return gathered.withColumn("moved", moved).select(
+    ats = running(F.transform("bs", lambda b: b["n_chars"]), lambda a, b: a + b, F.lit(0).cast("bigint"))
+    moved = F.flatten(F.zip_with("bs", ats, lambda b, at: F.transform(b["loss_spans"], lambda x: F.struct((x["start"] + at).alias("start"), x["size"].alias("size")))))
+    return gathered.select(
         "conv_id",
         F.aggregate("bs", F.lit(0).cast("bigint"), lambda s, b: s + b["n_turns"]).alias("n_turns"),
         F.array_join(F.transform("bs", lambda b: b["formatted"]), "").alias("formatted"),
-        F.col("moved.at").alias("n_chars"),
-        F.col("moved.spans").alias("loss_spans"),
+        F.aggregate("bs", F.lit(0).cast("bigint"), lambda s, b: s + b["n_chars"]).alias("n_chars"),
+        moved.alias("loss_spans"),
         F.flatten(F.transform("bs", lambda b: b["attachments"])).alias("attachments"),
         F.aggregate(F.flatten(F.transform("bs", lambda b: b["attachments"])), F.lit(0).cast("bigint"), lambda s, a: s + a["tokens"]).alias("expanded_tokens"),
     )
