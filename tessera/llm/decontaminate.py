@@ -1,15 +1,17 @@
 """Benchmark decontamination by winnowing, in DataFrame functions.
 
-Of each text every run of GUARANTEE - k + 1 consecutive k-gram hashes gives its minimum as a fingerprint (k is half the
-guarantee, rounded up), so a span of GUARANTEE words that two texts share gives both the same fingerprint at the same
-place. Fingerprints of the training texts, each with the few words around it, are joined to the distinct ones of the test
-items. Each hit is extended to the windows of GUARANTEE words around it, which are joined by their words to the items'
-windows; a joined window is a match, and every shared window is found. The texts themselves are never shuffled. Items shorter than that are a window of their own length: each length that
-occurs (nine at most) is a guarantee of its own.
+Of each text every run of g consecutive words gives its minimal k-gram hash as a fingerprint (k is half of g, rounded up), so a
+span of g words that two texts share gives both the same fingerprint. Fingerprints of the training texts are joined to those
+of the windows of the test items; each hit is extended to the few words around it, whose windows are joined by their words
+to the items' windows: a joined window is a match, and every shared window is found. Items shorter than GUARANTEE are a
+window of their own length; lengths with the same k share the fingerprints of the least of them. All lengths are found in
+one scan, and the texts themselves are never shuffled.
+
+A fingerprint is a number that holds the first bits of the hash and the gram's place, so the least of a run names both.
 
 Only distinct fingerprints and windows are joined, so a passage in many items or a word that repeats makes no pairs of
-positions. The tables of the items are written first: their size is known, and Spark broadcasts them only under
-spark.sql.autoBroadcastJoinThreshold, else it shuffles both sides.
+positions. The items' fingerprints are counted first: up to BROADCAST of them are broadcast, beyond that both sides are
+shuffled (the words around each fingerprint then travel with it).
 """
 
 from __future__ import annotations
@@ -17,13 +19,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, ascii_lower, table, written
+from .common import NO_WORD, ascii_lower, bound, table, written
 
 GUARANTEE = 10
+#: Bits of a fingerprint for the place (texts are under 2 ** 28 words, by Spark's bound on a value), and their mask.
+PLACE_BITS = 28
+PLACE = (1 << PLACE_BITS) - 1
+#: Fingerprints of items (16 bytes each) that may be broadcast.
+BROADCAST = 1 << 20
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(ALNUM_WORD), 0)
+    # a split between words takes a sixth of the time of extracting them; it leaves an empty string at an edge without a word
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NO_WORD), "")
 
 
 def gram_size(guarantee: int) -> int:
@@ -35,31 +43,18 @@ def indexes(size: Column) -> Column:
     return F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def fingerprints(hashes: Column, guarantee: int) -> Column:
-    """Minimal k-gram hashes with their positions, an array of (at, value), from the array of word hashes."""
-    k = gram_size(guarantee)
-    grams = F.transform(indexes(F.size(hashes) - (k - 1)), lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]))
-    width = guarantee - k + 1
-    lows = F.transform(indexes(F.size("grams") - (width - 1)), lambda i: F.least(*[F.get(F.col("grams"), i + j) for j in range(width)]) if width > 1 else F.get(F.col("grams"), i))
-    return grams, lows
-
-
-def selected(docs: DataFrame, key: list[str], guarantee: int) -> DataFrame:
-    """Rows (key, w) to (key, value, first, context): each k-gram that is the minimum of a run it is in, and the words that
-    windows of `guarantee` words with that k-gram reach, joined by blanks, from word first on."""
-    k = gram_size(guarantee)
-    width = guarantee - k + 1
-    hashed = docs.select(*key, "w", F.transform("w", lambda w: F.xxhash64(w)).alias("hashes"))
-    grams, lows = fingerprints(F.col("hashes"), guarantee)
-    marked = hashed.select(*key, "w", grams.alias("grams")).select(*key, "w", "grams", lows.alias("lows"))
-    # a position is chosen if its value is the minimum of some run that holds it
-    chosen = F.filter(
-        F.transform("grams", lambda g, i: F.when(F.exists(F.slice(F.col("lows"), F.greatest(i - (width - 2), F.lit(1)), F.lit(width)), lambda low: low == g), i)),
-        lambda i: i.isNotNull(),
-    )
-    first = lambda i: F.greatest(i - (guarantee - k), F.lit(0))
-    context = lambda i: F.array_join(F.slice(F.col("w"), first(i) + 1, i + guarantee - first(i)), " ")
-    return marked.select(*key, F.inline(F.transform(chosen, lambda i: F.struct(F.get("grams", i).alias("value"), first(i).alias("first"), context(i).alias("context")))))
+def fingerprints(hashes: Column, g: int) -> Column:
+    """The distinct fingerprints of runs of g words, from the array of word hashes: the hash's first bits, then the place."""
+    k = gram_size(g)
+    width = g - k + 1
+    gram = lambda i: F.get(hashes, i) if k == 1 else F.xxhash64(*[F.get(hashes, i + j) for j in range(k)])
+    placed = F.transform(indexes(F.size(hashes) - (k - 1)), lambda i: gram(i).bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("bigint")))
+    least = lambda all_: F.transform(indexes(F.size(all_) - (width - 1)), lambda i: F.least(*[F.get(all_, i + j) for j in range(width)]))
+    return F.array_distinct(placed if width == 1 else bound(placed, least))
+
+
+def value(fingerprint: Column) -> Column:
+    return F.shiftright(fingerprint, PLACE_BITS)
 
 
 def windows(items: DataFrame, guarantee: int = GUARANTEE) -> DataFrame:
@@ -75,27 +70,50 @@ def matches(docs: DataFrame, items: DataFrame, guarantee: int = GUARANTEE) -> tu
     item_windows = written(windows(items, guarantee), "item-windows")
     distinct = written(item_windows.select("size", "window").distinct(), "item-distinct")
     sizes = sorted(r["size"] for r in item_windows.select("size").distinct().collect())  # at most `guarantee` values
+    classes = {k: [s for s in sizes if gram_size(s) == k] for k in {gram_size(s) for s in sizes}}
+    if not classes:
+        none = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit("").alias("window"))
+        return none.limit(0), item_windows
+    hashes = F.transform("w", lambda w: F.xxhash64(w))
+    values = None
+    for k, group in classes.items():
+        mine = distinct.where(F.col("size").isin(group)).select(F.slice(F.split("window", " "), 1, min(group)).alias("w")).select(hashes.alias("hashes"))
+        own = mine.select(F.lit(k).alias("k"), F.explode(fingerprints(F.col("hashes"), min(group))).alias("f")).select("k", value(F.col("f")).alias("value"))
+        values = own if values is None else values.unionByName(own)
+    values = written(values.distinct(), "item-values")
+    few = values.count() <= BROADCAST
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), words(F.col("text")).alias("w"))
-    hits = None
-    for size in sizes:
-        mine = distinct.where(F.col("size") == size).select("window", F.split("window", " ").alias("w"))
-        values = written(selected(mine, ["window"], size).select("value").distinct(), "item-values")
-        found = selected(keyed, ["doc_id", "text_key"], size).join(values, "value", "left_semi").select("doc_id", "text_key", F.lit(size).alias("size"), "first", "context")
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        none = docs.sparkSession.createDataFrame([], "at int, size int, window string")
-        return keyed.select("doc_id", "text_key").limit(0).crossJoin(none), item_windows
-    near = hits.select("doc_id", "text_key", "size", "first", F.split("context", " ").alias("c"))
+    found = keyed.select("doc_id", "text_key", "w", hashes.alias("hashes"))
+
+    def tagged(k: int, group: list[int]) -> Column:
+        return F.transform(fingerprints(F.col("hashes"), min(group)), lambda f: F.struct(F.lit(k).alias("k"), f.alias("f")))
+
+    every = F.concat(*[tagged(k, group) for k, group in classes.items()])
+    found = found.select("doc_id", "text_key", "w", F.inline(every))
+    place = F.col("f").bitwiseAND(F.lit(PLACE)).cast("int")
+    chosen = lambda of: F.coalesce(*[F.when(F.col("k") == k, F.lit(of(k, group))) for k, group in classes.items()])
+    first = F.greatest(place - chosen(lambda k, group: min(group) - k), F.lit(0))
+    context = F.slice("w", first + 1, place - first + chosen(lambda _, group: max(group)))
+    around = lambda rows: rows.select("doc_id", "text_key", "k", "value", first.alias("first"), F.array_join(context, " ").alias("context"))
+    found = found.withColumn("value", value(F.col("f")))
+    hits = around(found.join(F.broadcast(values), ["k", "value"])) if few else around(found).join(values, ["k", "value"])
+    near = hits.select("doc_id", "text_key", "first", F.split("context", " ").alias("c"), F.explode(chosen_sizes(classes)).alias("size"))
     cut = F.transform(indexes(F.size("c") - F.col("size") + 1), lambda i: F.struct((F.col("first") + i).alias("at"), F.array_join(F.slice(F.col("c"), i + 1, F.col("size")), " ").alias("window")))
     places = near.select("doc_id", "text_key", "size", F.inline(cut))
     return places.join(distinct, ["size", "window"]).select("doc_id", "text_key", "at", "size", "window").distinct(), item_windows
 
 
+def chosen_sizes(classes: dict[int, list[int]]) -> Column:
+    """The lengths of windows of the class k."""
+    return F.coalesce(*[F.when(F.col("k") == k, F.array(*map(F.lit, group))) for k, group in classes.items()])
+
+
 def contamination(docs: DataFrame, items: DataFrame, guarantee: int = GUARANTEE) -> DataFrame:
-    """One row for each distinct (doc_id, text) of docs: doc_id, text_key, n_words, n_hit, item_ids (sorted as strings).
+    """A row for each row of docs: doc_id, text_key, n_words, n_hit, item_ids (sorted as strings).
 
     n_hit counts the words inside a matched window. A null text has no words; items without words and null items match
-    nothing; a null doc_id is an id. Rows with one id and one text give a single row. Other columns are ignored.
+    nothing; a null doc_id is an id; rows with one id and one text get the same result each. Without items nothing is hit.
+    Other columns are ignored.
     """
     found, item_windows = matches(docs, items, guarantee)
     found = written(found, "matched")
@@ -110,14 +128,24 @@ def contamination(docs: DataFrame, items: DataFrame, guarantee: int = GUARANTEE)
     listed = pairs.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("item_ids"))
     sides = hit.alias("a").join(listed.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_key") == F.col("b.text_key")))
     sides = written(sides.select(F.col("a.doc_id").alias("d"), F.col("a.text_key").alias("k"), "n_hit", "item_ids"), "contaminated")
-    # a word starts where the pattern's characters do, upper case included
-    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("bigint")
-    every = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), n_words.alias("n_words")).dropDuplicates(["doc_id", "text_key"])
+    n_words = F.size(words(F.col("text"))).cast("bigint")
+    every = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), n_words.alias("n_words"))
     return every.join(sides, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left").select(
         "doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids")
     )
 
 
+def uncontaminated(docs: DataFrame, items: DataFrame, guarantee: int = GUARANTEE) -> DataFrame:
+    """docs without the rows that share a window with an item; all columns and repeated rows stay as they are.
+
+    Rows without words, and all rows if there are no items, stay. A row is told by its doc_id (a null is an id) and its text.
+    """
+    found = written(matches(docs, items, guarantee)[0].select("doc_id", "text_key").distinct(), "contaminated")
+    hit = found.select(F.col("doc_id").alias("id of hit"), F.col("text_key").alias("text of hit"))
+    same = docs["doc_id"].eqNullSafe(hit["id of hit"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == hit["text of hit"])
+    return docs.join(hit, same, "left_anti")
+
+
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
     """contamination() of all documents against all benchmark items."""
     out = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
