@@ -11,17 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, jaccard, secrets, toxicity
-from tessera.llm.bitmap import split_by
 from tessera.llm.common import table, written
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in dropped; null ids stay. Only rows that may be dropped are joined."""
-    ids = written(dropped.select("doc_id").where("doc_id is not null").distinct(), "dropped")
-    may, stay = split_by(docs, ids, "doc_id")
-    return stay.unionByName(may.join(ids, "doc_id", "left_anti").select(*docs.columns))
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.7) -> DataFrame:
     """Rows whose document scores under the threshold, by a model fitted to the labels that are not held out."""
     texts = table(spark, sf_dir, "documents")
@@ -31,15 +23,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: flo
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that 80 percent similarity of 5-word shingles connects."""
-    groups = jaccard.similar_groups(docs, size=5, percent=80, count_links=False)
-    return without(docs, groups.where("component_id != doc_id"))
+    """One row of each group that 80 percent similarity of 5-word shingles connects: that with the smallest doc_id."""
+    return jaccard.deduplicated(docs, size=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that share no window of ten words (or no whole shorter item) with the benchmark."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found.where("n_hit > 0"))
+    return decontaminate.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
