@@ -1,50 +1,74 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-A text's set holds the hashes of its word shingles. Sets are taken in bands of sizes [L, R] that overlap, so that any
-two sets similar enough lie in one band together; there they differ in at most k = 2R(1 - s)/(1 + s) elements. The
-feature domain is cut into n > k parts. Two such sets agree on at least n - k whole parts, so when each set leaves out
-the n - k - 1 least telling of its parts (fewest elements first, an order that the content alone decides), at least one
-part that agrees is kept by both: its hash is the shared signature. Empty and tiny parts, which unrelated sets share,
-are the ones left out.
-
-Sets that are equal are one node. Nodes that share a signature are candidates. First each signature's smallest node is
-compared with the others; then, for what that has not connected, nodes of different components under one signature are
-compared: as pairs where few share it, else in blocks against blocks that give spanning links only. No pair under a
-signature that could still connect two components stays uncompared.
+A text's set holds the hashes of its word shingles; equal sets are one node. Sets are taken in bands of sizes [L, R] that
+overlap, so that any two sets similar enough lie in one band together; there they differ in at most k = 2R(1 - s)/(1 + s)
+elements. A band cuts the feature domain into n partitions and each of these into SUBS smaller ones; its signatures are
+all subsets of SUBS - 1 parts of each partition. Two sets that differ in at most k elements have the same content under at
+least g = 2n - k of them (SUBS n - (SUBS - 1) k if n > k): a first difference in a partition spoils all its subsets but one, a
+second that one. As g is known, each set leaves out its g - 1 least telling signatures (fewest elements first, an order that
+content alone decides): the most telling one that both agree on is kept by both. Those are the empty and tiny ones, which
+unrelated sets share.
+
+Only signatures that two sets may share leave the scan (a map of fixed size, bitmap.py). Nodes that share one are candidates.
+First each signature's smallest node is compared with the others, its text sent once for so many of them; then, for what that
+has not connected, all nodes of different components under one signature: in one group where a signature has few, else in
+blocks against blocks. No pair under a signature that could still connect two components stays uncompared, and no pair is
+written down unless it links.
 
 Similar sets are in one component, so links are counted there: block against block, each pair of a component's nodes once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import batches_of, mixed, words_of
-from .bitmap import BITS, held, repeated_bits, split_by
+from .arrays import mixed, texts_of, words_of
+from .bitmap import bits_for, column_hashes, counted, held
 from .common import table, written
 from .graph import components
 
-SPAN = 1 << 21
-#: Nodes of one signature that are compared as pairs; more go in blocks of BLOCK.
-FEW, BLOCK = 32, 256
+SUBS = 3
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Bytes of text hashed at a time; sets, and shingles in all, of a block (a single set may have more); members of a star
+    that one task compares; columns of a product of blocks. They bound memory, not results."""
+
+    span: int = 1 << 19
+    block: int = 256
+    shingles: int = 1 << 18
+    star: int = 1024
+    columns: int = 1 << 13
 
 
 def bands(top: int, percent: int) -> list[tuple[int, int]]:
     """Bands [L, R] up to the size top; sizes a <= b with 100 a >= percent b always share one."""
     out, low = [], 1
     while low <= top:
-        high = max(low * 3 // 2, -(-low * 125 // percent))
+        high = max(low * 150 // percent, -(-low * 100 // percent))
         out.append((low, high))
         low = percent * high // 100 + 1
     return out
 
 
-def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
+def partitions(high: int, percent: int) -> tuple[int, int]:
+    """(n, g): a band's partitions, and how many signatures similar sets have in common at least; (0, 0) if only equal sets are."""
+    k = 2 * high * (100 - percent) // (100 + percent)
+    if not k:
+        return 0, 0
+    n = k // 2 + 1 + k // 10
+    return n, 2 * n - k if k >= n else SUBS * n - (SUBS - 1) * k
+
+
+def shingle_sets(texts: list[str] | list[bytes], size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer words than a shingle are one, no words none."""
     words = words_of(texts, lower=True)
     count = max(len(words.hashes) - size + 1, 0)
@@ -65,228 +89,353 @@ def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
 
 def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     """The signatures of a set in all its bands."""
-    size, out = len(shingles), []
-    if not size:
-        return np.zeros(0, np.uint64)
+    size, out = len(shingles), [np.zeros(0, np.uint64)]
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(shingles))])
+    high_half = shingles >> np.uint64(32)
     for number, (low, high) in enumerate(bands(size, percent)):
-        if not low <= size <= high:
+        n, g = partitions(high, percent)
+        if not (low <= size <= high and n):
             continue
-        k = 2 * high * (100 - percent) // (100 + percent)
-        n = k + 1 + -(-(k + 1) // 5) * (k > 0)
-        part = ((shingles >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)  # ranges of the domain: sorted like the set
-        ends = np.searchsorted(part, np.arange(n + 1, dtype=np.uint64))
-        held = np.diff(ends)
-        tags = np.arange(n, dtype=np.uint64) + np.array([number << 40], np.uint64)
-        content = mixed(mixed(sums[ends[1:]] - sums[ends[:-1]] + held.astype(np.uint64)) + tags)
-        out.append(content[np.lexsort((content, held))[n - k - 1 :]])
+        # parts are ranges of the domain, in the order of the sorted set
+        edges = (np.arange(SUBS * n + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(SUBS * n)
+        ends = np.searchsorted(high_half, edges)
+        ends[-1] = size
+        held_ = np.diff(ends).reshape(n, SUBS)
+        content = (sums[ends[1:]] - sums[ends[:-1]]).reshape(n, SUBS)
+        held_ = (held_.sum(axis=1)[:, None] - held_).ravel()  # a subset: the partition without one part
+        content = (content.sum(axis=1, dtype=np.uint64)[:, None] - content).ravel()
+        tags = np.arange(SUBS * n, dtype=np.uint64) + np.uint64(number << 40)
+        content = mixed(mixed(content + held_.astype(np.uint64)) + tags)
+        out.append(content[np.lexsort((content, held_))[g - 1 :]])
     return np.concatenate(out)
 
 
 def key_of(shingles: np.ndarray) -> int | None:
     """A 64-bit digest of a set, none for the empty set."""
-    import xxhash
-
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64)) if len(shingles) else None
 
 
-def described(docs: DataFrame, size: int) -> DataFrame:
-    """Rows (doc_id, n_shingles, key)."""
+def described(docs: DataFrame, size: int, span: int) -> DataFrame:
+    """Rows (doc_id, digest, n_shingles, key); digest tells texts of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for at, end in batches_of(texts, SPAN):
-                sets = shingle_sets(texts[at:end], size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(map(len, sets), pa.int64()), pa.array(map(key_of, sets), pa.int64())], names=["doc_id", "n_shingles", "key"])
+            for at, texts in texts_of(batch.column(2), span):
+                sets = shingle_sets(texts, size)
+                columns = [*(batch.column(k).slice(at, len(sets)) for k in (0, 1)), pa.array(map(len, sets), pa.int64()), pa.array(map(key_of, sets), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n_shingles", "key"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, key bigint")
+    return docs.select("doc_id", digest(), "text").mapInArrow(run, f"doc_id {id_type}, digest bigint, n_shingles bigint, key bigint")
 
 
-def all_signatures(docs: DataFrame, size: int, percent: int, marks=None) -> DataFrame:
-    """Rows (signature, key) of each text; with marks (a broadcast map) only those marked there."""
+def digest() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None if marks is None else np.frombuffer(marks.value, np.uint8)
-        for batch in batches:
-            texts = [x or "" for x in batch.column(0).to_pylist()]
-            for at, end in batches_of(texts, SPAN):
-                sets = [s for s in shingle_sets(texts[at:end], size) if len(s)]
-                signed = [signatures(s, percent) for s in sets]
-                flat = np.concatenate([np.zeros(0, np.uint64), *signed])
-                keys = np.repeat(np.array([key_of(s) for s in sets], np.int64), np.array([len(x) for x in signed], np.int64))
-                if known is not None:
-                    keep = held(known, flat)
-                    flat, keys = flat[keep], keys[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(keys)], names=["signature", "key"])
 
-    return docs.select("text").mapInArrow(run, "signature bigint, key bigint")
+def hashed_id() -> Column:
+    """A hash of doc_id, null for a null."""
+    return F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).alias("h")
+
 
+def marked_texts(batches: Iterator[pa.RecordBatch], marks: bytes, size: int, span: int) -> Iterator[tuple[list[bytes], list[np.ndarray]]]:
+    """Texts and sets of rows (h, text) whose h is marked or null."""
+    known = np.frombuffer(marks, np.uint8)
+    for batch in batches:
+        there = held(known, batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) | batch.column(0).is_null().to_numpy(zero_copy_only=False)
+        for _, texts in texts_of(batch.column(1).filter(pa.array(there)), span):
+            yield texts, shingle_sets(texts, size)
 
-def shared_signatures(docs: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
-    """Rows (signature, key) without most signatures that only one text has; texts are signed twice, nothing is stored."""
-    bitmap = repeated_bits(all_signatures(docs, size, percent).select(F.col("signature").alias("h")), bits)
-    return all_signatures(docs, size, percent, docs.sparkSession.sparkContext.broadcast(bitmap)).distinct()
 
+def marked_sets(batches: Iterator[pa.RecordBatch], marks: bytes, size: int, span: int) -> Iterator[list[np.ndarray]]:
+    """The sets of marked_texts(), each set once, without the empty one."""
+    seen: set[int] = set()
+    for _, sets in marked_texts(batches, marks, size, span):
+        yield [s for s in sets if (key := key_of(s)) is not None and key not in seen and not seen.add(key)]
 
-def sets_of(docs: DataFrame, size: int) -> DataFrame:
-    """Rows (text, key) to (key, shingles as bytes)."""
+
+def shared_signatures(rows: DataFrame, marks, size: int, percent: int, bits: int, span: int) -> DataFrame:
+    """Rows (signature, node (key, n)) without most signatures that only one set has; sets are signed twice, nothing is stored.
+
+    rows: (h, text), of which those marked in `marks` (a broadcast map) count.
+    """
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for sets in marked_sets(batches, marks.value, size, span):
+            yield np.concatenate([np.zeros(0, np.uint64), *(signatures(s, percent) for s in sets)])
+
+    [repeated] = counted(rows, signed, bits, (2,))
+    shipped = rows.sparkSession.sparkContext.broadcast(repeated)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x or "" for x in batch.column(0).to_pylist()]
-            for at, end in batches_of(texts, SPAN):
-                packed = pa.array([s.tobytes() for s in shingle_sets(texts[at:end], size)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, end - at), packed], names=["key", "shingles"])
+        known = np.frombuffer(shipped.value, np.uint8)
+        for sets in marked_sets(batches, marks.value, size, span):
+            lists = [(s, found[held(known, found)]) for s in sets if len(found := signatures(s, percent))]
+            lists = [(s, found) for s, found in lists if len(found)]
+            if not lists:
+                continue
+            counts = np.array([len(found) for _, found in lists])
+            columns = [np.concatenate([found for _, found in lists]).view(np.int64), np.repeat(np.array([key_of(s) for s, _ in lists], np.int64), counts), np.repeat(np.array([len(s) for s, _ in lists]), counts)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["signature", "key", "n"])
+
+    return rows.mapInArrow(run, "signature bigint, key bigint, n bigint").distinct()
+
 
-    return docs.select("text", "key").mapInArrow(run, "key bigint, shingles binary")
+def packed(text: bytes) -> bytes:
+    """A text for shipping: its size and its compressed bytes; a third of what its shingles' hashes take."""
+    return len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True)
 
 
-def similar(a: int, b: int, shared: int, percent: int) -> bool:
-    return 100 * shared >= percent * (a + b - shared)
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def texts_of_sets(rows: DataFrame, marks, size: int, span: int) -> DataFrame:
+    """Rows (h, text), of which those marked count, to (key, packed): one text of each set; a set may come from several tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                keep.append(similar(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left, right = (sets.select(F.col("key").alias(n), F.col("shingles").alias(f"s{n}")) for n in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
-
-
-def block_links(group: pa.Table, percent: int) -> pa.Table:
-    """Spanning links between the queries and the targets of a group (columns key, root, is_query, shingles)."""
-    keys, roots = group["key"].to_numpy(), group["root"].to_numpy()
-    query = group["is_query"].to_numpy()
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in group["shingles"].chunks for x in chunk]
-    sizes = np.array([len(s) for s in sets])
-    qs, ts = np.flatnonzero(query), np.flatnonzero(~query)
-    links: list[tuple[int, int]] = []
-    if len(qs) and len(ts):
-        values, owners = np.concatenate([sets[q] for q in qs]), np.repeat(np.arange(len(qs)), sizes[qs])
-        order = np.argsort(values, kind="stable")
-        values, owners = values[order], owners[order]
-        parent = {r: r for r in np.unique(roots).tolist()}
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for t in ts:
-            first, last = np.searchsorted(values, sets[t], "left"), np.searchsorted(values, sets[t], "right")
-            ends = np.cumsum(last - first)
-            at = np.repeat(first - (ends - (last - first)), last - first) + np.arange(ends[-1])
-            shared = np.bincount(owners[at], minlength=len(qs))
-            for q in np.flatnonzero(100 * shared >= percent * (sizes[qs] + sizes[t] - shared)):
-                a, b = root(int(roots[qs[q]])), root(int(roots[t]))
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    links.append((int(keys[qs[q]]), int(keys[t])))
-    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
-
-
-def partner_counts(group: pa.Table, percent: int) -> pa.Table:
-    """How many sets each set (columns key, part, q, t, shingles) of part q is similar to in part t, and the other way."""
-    keys, parts = group["key"].to_numpy(), group["part"].to_numpy()
-    q, t = group["q"][0].as_py(), group["t"][0].as_py()
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in group["shingles"].chunks for x in chunk]
-    sizes = np.array([len(s) for s in sets])
-    qs, ts = np.flatnonzero(parts == q), np.flatnonzero(parts == t)
-    counts = np.zeros(len(sets), np.int64)
+        seen: set[int] = set()
+        for texts, sets in marked_texts(batches, marks.value, size, span):
+            fresh = [(key, t) for t, s in zip(texts, sets, strict=True) if (key := key_of(s)) is not None and key not in seen and not seen.add(key)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in fresh], pa.int64()), pa.array([packed(t) for _, t in fresh], pa.binary())], names=["key", "packed"])
+
+    return rows.mapInArrow(run, "key bigint, packed binary")
+
+
+def shared_counts(qs: list[np.ndarray], ts: list[np.ndarray], columns: int) -> np.ndarray:
+    """The size of the intersection of each of qs with each of ts, as products of 0/1 blocks over some columns at a time."""
+    values = np.concatenate(qs)
+    known = np.unique(values)
+    own_q, own_t = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (qs, ts))
+    theirs = np.concatenate(ts)
+    at = np.searchsorted(known, theirs)
+    at[at == len(known)] = 0
+    hit = known[at] == theirs
+    own_t, at_t = own_t[hit], at[hit]
+    if len(qs) == 1:
+        return np.bincount(own_t, minlength=len(ts))[None, :]
+    at_q, out = np.searchsorted(known, values), np.zeros((len(qs), len(ts)), np.float32)
+    for low in range(0, len(known), columns):
+        blocks = []
+        for at, own, rows in ((at_q, own_q, len(qs)), (at_t, own_t, len(ts))):
+            mine = (at >= low) & (at < low + columns)
+            block = np.zeros((rows, min(columns, len(known) - low)), np.float32)
+            block[own[mine], at[mine] - low] = 1
+            blocks.append(block)
+        out += blocks[0] @ blocks[1].T
+    return out.astype(np.int64)
+
+
+def linked(qs: list[np.ndarray], ts: list[np.ndarray], percent: int, columns: int) -> np.ndarray:
+    """Whether each of qs is similar enough to each of ts."""
+    shared = shared_counts(qs, ts, columns)
+    a, b = (np.array([len(s) for s in x]) for x in (qs, ts))
+    return 100 * shared >= percent * (a[:, None] + b[None, :] - shared)
+
+
+def group_links(sets: list[np.ndarray], keys: np.ndarray, roots: np.ndarray, side: np.ndarray, percent: int, columns: int) -> list[np.ndarray]:
+    """Columns a, b: spanning links of different roots between sides 0 and 1 of a group, or inside it where all are side 2."""
+    qs, ts = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    if not len(qs) or not len(ts):
+        return [np.zeros(0, np.int64)] * 2
+    x, y = np.nonzero(linked([sets[k] for k in qs], [sets[k] for k in ts], percent, columns))
+    x, y = qs[x], ts[y]
+    apart = np.flatnonzero(roots[x] != roots[y])
+    parent, links = {}, []
+
+    def root(r: int) -> int:
+        while parent.setdefault(r, r) != r:
+            parent[r] = parent[parent[r]]
+            r = parent[r]
+        return r
+
+    for k in apart:
+        a, b = root(int(roots[x[k]])), root(int(roots[y[k]]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            links.append(k)
+    return [keys[x[links]], keys[y[links]]] if links else [np.zeros(0, np.int64)] * 2
+
+
+def group_counts(sets: list[np.ndarray], keys: np.ndarray, roots: np.ndarray, side: np.ndarray, percent: int, columns: int) -> list[np.ndarray]:
+    """Columns key, links: the similar sets of each set on the other side, or in the group where all are side 2."""
+    qs, ts = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    links = np.zeros(len(sets), np.int64)
     if len(qs) and len(ts):
-        values, owners = np.concatenate([sets[k] for k in qs]), np.repeat(np.arange(len(qs)), sizes[qs])
-        order = np.argsort(values, kind="stable")
-        values, owners = values[order], owners[order]
-        for k in ts:
-            first, last = np.searchsorted(values, sets[k], "left"), np.searchsorted(values, sets[k], "right")
-            ends = np.cumsum(last - first)
-            at = np.repeat(first - (ends - (last - first)), last - first) + np.arange(ends[-1])
-            shared = np.bincount(owners[at], minlength=len(qs))
-            linked = qs[100 * shared >= percent * (sizes[qs] + sizes[k] - shared)]
-            counts[k] += len(linked) - (q == t)  # not with itself
-            if q != t:
-                counts[linked] += 1
-    return pa.table({"key": keys, "links": counts})
-
-
-def partners(roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (key, links) of all nodes (node, root): the number of other nodes of its component that each is similar to."""
-    sized = roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    inside = roots.join(sized, "root").select("root", F.col("node").alias("key"), "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
-    dealt = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("root", "key", "part", F.least("part", "other").alias("q"), F.greatest("part", "other").alias("t"))
-    count = lambda group: partner_counts(group, percent)
-    counted = dealt.join(sets, "key").groupBy("root", "q", "t").applyInArrow(count, "key bigint, links bigint")
-    return counted.groupBy("key").agg(F.sum("links").alias("links"))
-
-
-def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, bits: int = BITS, count_links: bool = True) -> DataFrame:
-    """Rows (doc_id, text) to (doc_id, n_shingles, component_id, n_links), a row for each row; n_links is null unless count_links.
+        found = linked([sets[k] for k in qs], [sets[k] for k in ts], percent, columns)
+        links[qs] += found.sum(axis=1)
+        if (side == 2).all():
+            links -= 1  # not with itself
+        else:
+            links[ts] += found.sum(axis=0)
+    return [keys, links]
 
-    Two texts link when 100 * |intersection| >= percent * |union| of their sets of shingles of `size` words (lower case,
-    A-Z alone). component_id is the smallest doc_id reachable by links, itself included; n_links counts
-    all different sets that a text's set links with; equal sets are one node. Null and empty
-    texts have no shingles and are linked with nothing. Repeated rows stay and are copies of each other; null ids never
-    name a component unless it has no other. Other columns are ignored. Sets are told apart by 64-bit digests.
-    """
-    described_docs = written(described(docs, size), "described")
-    nodes = described_docs.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"))
-    signed = written(shared_signatures(docs, size, percent, bits), "shared")
-    buckets = signed.groupBy("signature").agg(F.min("key").alias("pivot"), F.max("key").alias("last")).where("pivot != last").select("signature", "pivot")
-    members = written(signed.join(buckets, "signature").select("signature", "pivot", "key").distinct(), "members")
-    chosen = written(members.select("key").distinct().join(nodes, "key"), "candidates")
-    # one row of each candidate set is read again for its shingles
-    wanted = chosen.where("doc is not null").select(F.col("doc").alias("doc_id"), "key")
-    texts = split_by(docs.select("doc_id", "text"), wanted, "doc_id", bits)[0].join(wanted, "doc_id")
-    sets = written(sets_of(texts, size).dropDuplicates(["key"]), "sets")
-    sizes = chosen.select("key", "n")
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs whose sizes alone don't rule them out."""
-        a, b = (sizes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-        near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-        return pairs.distinct().join(a, "a").join(b, "b").where(near).select("a", "b")
-
-    stars = members.where("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b"))
-    links = written(verified(sized(stars), sets, percent), "links")
+
+def compared(groups: DataFrame, by: list[str], texts: DataFrame, work: Callable, schema: str, size: int, percent: int, limits: Limits) -> DataFrame:
+    """work() on each group of rows (by, key, root, side): its sets, keys, roots and sides."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(parts)
+            rows = rows.filter(pa.array(~repeated(rows["key"].to_numpy(), rows["side"].to_numpy())))
+            sets: list[np.ndarray] = []
+            some: list[bytes] = []
+            for chunk in rows["packed"].chunks:
+                for x in chunk:
+                    some.append(unpacked(x.as_py()))
+                    if sum(map(len, some)) >= limits.span:
+                        sets, some = sets + shingle_sets(some, size), []
+            sets += shingle_sets(some, size) if some else []
+            out = work(sets, rows["key"].to_numpy(), rows["root"].to_numpy(), rows["side"].to_numpy(), percent, limits.columns)
+            if len(out[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
+
+        last = None
+        for batch in batches:
+            marks = np.stack([batch.column(k).to_numpy() for k in range(len(by))], axis=1)
+            edges = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *edges], [*edges, len(marks)], strict=True):
+                if a == b:
+                    continue
+                if last is not None and (marks[a] != last).any():
+                    yield from done()
+                    parts = []
+                last = marks[a]
+                parts.append(batch.slice(a, b - a))
+        if parts:
+            yield from done()
+
+    rows = groups.join(texts, "key").select(*by, "key", "root", "side", "packed")
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
+
+
+def repeated(keys: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Which rows repeat a key and side: a set that several tasks have read."""
+    out = np.ones(len(keys), bool)
+    out[np.unique(np.stack([keys, side.astype(np.int64)]), axis=1, return_index=True)[1]] = False
+    return out
+
+
+def component_table(docs: DataFrame, nodes: DataFrame, size: int, percent: int, bits: int, count_links: bool, limits: Limits) -> DataFrame:
+    """(key, root, links) of nodes that are linked with another."""
+    spark, span = docs.sparkSession, limits.span
+    texts = docs.select(hashed_id(), "text")
+    chosen = lambda ids: spark.sparkContext.broadcast(counted(ids.where("h is not null"), column_hashes, bits_for(ids, 4), (1,))[0])
+    one_each = nodes.select(F.col("doc").alias("doc_id")).select(hashed_id())
+    signed = written(shared_signatures(texts, chosen(written(one_each, "one-each")), size, percent, bits, span), "signed")
+    node = F.struct("key", "n")
+    pivots = signed.groupBy("signature").agg(F.min(node).alias("pivot"), F.max("key").alias("last")).where("pivot.key != last").select("signature", "pivot")
+    members = written(signed.join(pivots, "signature").select("signature", "key", "n", F.col("pivot.key").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "members")
+    candidates = written(members.select("key").distinct(), "candidates")
+    wanted = nodes.join(candidates, "key", "left_semi").select(F.col("doc").alias("doc_id")).select(hashed_id())
+    sets = written(texts_of_sets(texts, chosen(written(wanted, "wanted")), size, span).join(candidates, "key", "left_semi"), "sets")
+
+    def against(groups: DataFrame, by: list[str], work: Callable = group_links, schema: str = "a bigint, b bigint") -> DataFrame:
+        return compared(groups, by, sets, work, schema, size, percent, limits)
+
+    dealt = lambda parts: F.pmod(F.xxhash64("key"), F.col(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    # stars: each signature's smallest node against the others
+    near = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent
+    stars = written(members.where(F.col("key") != F.col("pivot")).where(near).select("pivot", "key", "n").distinct(), "stars")
+    blocks = F.greatest(F.ceil(F.count("*") / limits.star), F.ceil(F.sum("n") / (8 * limits.shingles))).cast("int")
+    parts = written(stars.groupBy("pivot").agg(blocks.alias("parts")), "parts")
+    side = lambda n: F.lit(n).alias("side")
+    others = stars.join(parts, "pivot").select("pivot", dealt("parts").alias("part"), "key", F.col("key").alias("root"), side(1))
+    heads = parts.select("pivot", each("parts").alias("part"), F.col("pivot").alias("key"), F.col("pivot").alias("root"), side(0))
+    links = written(against(others.unionByName(heads), ["pivot", "part"]), "links")
     found = written(components(links), "roots")
-    rooted = members.join(found.withColumnRenamed("node", "key"), "key", "left").select("signature", "pivot", "key", F.coalesce("root", "key").alias("root"))
     # signatures under which two components still meet, beside what the pivot has been compared with
-    counts = rooted.groupBy("signature", "root").agg(F.count("*").alias("c")).groupBy("signature").agg(F.sum("c").alias("m"), F.count("*").alias("roots"), F.max_by("root", "c").alias("main"))
+    rooted = members.select("signature", "key", "n").join(found.withColumnRenamed("node", "key"), "key", "left").select("signature", "key", "n", F.coalesce("root", "key").alias("root"))
+    counts = rooted.groupBy("signature", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s")).groupBy("signature")
+    counts = counts.agg(F.sum("c").alias("m"), F.sum("s").alias("s"), F.count("*").alias("roots"), F.max_by("root", "c").alias("main"), F.max("c").alias("mains"))
     open_ = written(rooted.join(counts.where("roots > 1 and m > 2"), "signature"), "open")
-    few = open_.where(F.col("m") <= FEW).where("key != pivot")
-    x, y = (few.select("signature", F.col("key").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
-    pairs = x.join(y, "signature").where("a < b and ra != rb").select("a", "b")
-    more = written(verified(sized(pairs), sets, percent), "links")
-    many = open_.where(F.col("m") > FEW).withColumn("is_query", F.col("root") != F.col("main"))
-    queries = F.greatest(F.lit(1), F.ceil((F.col("m") - F.col("c_main")) / BLOCK)).cast("int")
-    held = many.groupBy("signature").agg(F.sum((~F.col("is_query")).cast("int")).alias("c_main"))
-    many = many.join(held, "signature").withColumn("qs", queries).withColumn("ts", F.ceil(F.col("m") / BLOCK).cast("int"))
-    mine = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    asked = many.where("is_query").select("signature", "key", "root", F.lit(True).alias("is_query"), mine("qs").alias("q"), F.explode(F.sequence(F.lit(0), F.col("ts") - 1)).alias("t"))
-    against = many.select("signature", "key", "root", F.lit(False).alias("is_query"), mine("ts").alias("t"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"))
-    blocks = asked.unionByName(against).join(sets, "key")
-    compare = lambda group: block_links(group, percent)
-    most = written(blocks.groupBy("signature", "q", "t").applyInArrow(compare, "a bigint, b bigint"), "links")
+    small = (F.col("m") <= limits.block) & (F.col("s") <= limits.shingles)
+    # few nodes: one group for all signatures that have the same ones
+    lists = open_.where(small).groupBy("signature").agg(F.array_sort(F.collect_list(F.struct("key", "root"))).alias("nodes")).select("nodes").distinct()
+    few = lists.select(F.xxhash64("nodes").alias("list"), F.explode("nodes").alias("x")).select("list", "x.key", "x.root", side(2))
+    more = written(against(few, ["list"]), "links")
+    # many: all but the largest component's nodes are held against all
+    most = lambda count: F.greatest(F.lit(1), F.ceil(F.col(count) / limits.block), F.ceil(F.col("s") / limits.shingles)).cast("int")
+    many = open_.where(~small).withColumn("rest", F.col("m") - F.col("mains")).withColumn("ts", most("m")).withColumn("qs", most("rest"))
+    asked = many.where("root != main").select("signature", dealt("qs").alias("q"), each("ts").alias("t"), "key", "root", side(0))
+    held_against = many.select("signature", each("qs").alias("q"), dealt("ts").alias("t"), "key", "root", side(1))
+    most_ = written(against(asked.unionByName(held_against), ["signature", "q", "t"]), "links")
     forest = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    final = written(components(forest.unionByName(more).unionByName(most)), "roots")
-    degree = written(partners(final, sets, percent), "degrees") if count_links else None
-    placed = described_docs.select("doc_id", "n_shingles", "key").join(final.withColumnRenamed("node", "key"), "key", "left")
-    placed = placed.join(degree, "key", "left") if count_links else placed
+    roots = written(components(forest.unionByName(more).unionByName(most_)), "roots").select(F.col("node").alias("key"), "root")
+    if not count_links:
+        return roots.withColumn("links", F.lit(None).cast("bigint"))
+    blocks = F.greatest(F.ceil(F.count("*") / limits.block), F.ceil(F.sum("n") / limits.shingles)).cast("int")
+    sized = roots.join(nodes.select("key", "n"), "key").groupBy("root").agg(F.count("*").alias("m"), blocks.alias("parts"))
+    inside = roots.join(sized, "root")
+    larger = inside.where("m > 2").select("root", "key", dealt("parts").alias("part"), each("parts").alias("other"))
+    larger = larger.select("root", F.least("part", "other").alias("q"), F.greatest("part", "other").alias("t"), "key", F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"))
+    # a block's rows alone under (q, q) are side 2; under (q, t) there are sides 0 and 1
+    degrees = against(larger.withColumn("component", F.col("root")), ["component", "q", "t"], group_counts, "key bigint, links bigint").groupBy("key").agg(F.sum("links").alias("links"))
+    degrees = degrees.unionByName(inside.where("m = 2").select("key", F.lit(1).cast("bigint").alias("links")))
+    return roots.join(degrees, "key")
+
+
+def similar_rows(docs: DataFrame, size: int = 5, percent: int = 80, count_links: bool = True, bits: int | None = None, limits: Limits = Limits()) -> DataFrame:
+    """Rows (doc_id, text) to (doc_id, digest, n_shingles, key, root, component_id, n_links), a row for each row; see
+    similar_groups(). key and root are of the set and of its component, null without words."""
+    rows = written(described(docs.select("doc_id", "text"), size, limits.span), "described")
+    nodes = written(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n")), "nodes")
+    linked_nodes = component_table(docs.select("doc_id", "text"), nodes, size, percent, bits or bits_for(docs), count_links, limits)
+    placed = nodes.join(linked_nodes, "key", "left").select("key", "doc", F.coalesce("root", "key").alias("root"), "links")
+    smallest = placed.groupBy("root").agg(F.min("doc").alias("smallest"))
+    placed = placed.join(smallest, "root").select("key", "root", "smallest", "links")
     n_links = F.coalesce("links", F.lit(0)) if count_links else F.lit(None)
-    placed = placed.select("doc_id", "n_shingles", F.coalesce("root", "key").alias("root"), n_links.cast("bigint").alias("n_links"))
-    smallest = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return placed.join(smallest, "root", "left").select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"), "n_links")
+    return rows.join(placed, "key", "left").select("doc_id", "digest", "n_shingles", "key", "root", F.coalesce("smallest", "doc_id").alias("component_id"), n_links.cast("bigint").alias("n_links"))
+
+
+def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, count_links: bool = True, bits: int | None = None, limits: Limits = Limits()) -> DataFrame:
+    """Rows (doc_id, text) to (doc_id, n_shingles, component_id, n_links), a row for each row.
+
+    Two texts link when 100 * |intersection| >= percent * |union| of their sets of shingles of `size` words (lower case,
+    A-Z alone). component_id is the smallest doc_id reachable by links, itself included; n_links counts all different sets
+    that a text's set links with (null unless count_links); equal sets are one node. Null and empty texts have no shingles and
+    are linked with nothing; an empty table gives no rows. Repeated rows stay and are copies of each other, as are rows of one
+    id with different texts only if the texts link; null ids never name a component unless it has no other. Other columns
+    are ignored. Sets are told apart by 64-bit digests. `bits` is the size of the map, by default from the size of docs.
+    """
+    return similar_rows(docs, size, percent, count_links, bits, limits).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80, bits: int | None = None, limits: Limits = Limits()) -> DataFrame:
+    """docs with one row of each group that links connect: that with the smallest doc_id (nulls last), then the smallest digest
+    of its text; of rows that are alike in both any one. Rows without words stay. All columns stay as they are."""
+    rows = written(similar_rows(docs, size, percent, False, bits, limits).where("key is not null"), "grouped")
+    rank = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "digest")
+    first = rows.groupBy("root").agg(F.min(rank).alias("first"), F.count("*").alias("c")).where("c > 1")
+    chosen = written(first.select("first.doc_id", "first.digest").distinct(), "chosen")
+    grouped = rows.join(first.select("root"), "root", "left_semi")
+    touched = written(grouped.select("doc_id", "digest").distinct(), "touched")
+    names = {"doc_id": "id of group", "digest": "digest of group"}
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    pair = lambda a, b: F.xxhash64(F.coalesce(F.xxhash64(a), F.lit(0)), b)
+    ids = touched.select(pair("doc_id", "digest").alias("h"))
+    marks = docs.sparkSession.sparkContext.broadcast(counted(ids, column_hashes, bits_for(touched, 4), (1,))[0])
+    hashed = docs.select(pair("doc_id", own).alias("hash of row"), *(docs[c] for c in docs.columns))
+
+    def picked(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = np.frombuffer(marks.value, np.uint8)
+            for batch in batches:
+                out = batch.filter(pa.array(held(known, batch.column(0).to_numpy().view(np.uint64)) == wanted))
+                yield pa.RecordBatch.from_arrays(out.columns[1:], names=out.schema.names[1:])
+
+        return hashed.mapInArrow(run, docs.schema)
+
+    may, stay = picked(True).withColumn("digest of text", own), picked(False)
+    same = lambda t: may["doc_id"].eqNullSafe(t[names["doc_id"]]) & (may["digest of text"] == t[names["digest"]])
+    groups, firsts = (t.withColumnsRenamed(names) for t in (touched, chosen))
+    untouched = may.join(groups, same(groups), "left_anti").drop("digest of text")
+    kept = may.join(firsts, same(firsts), "left_semi").dropDuplicates(["doc_id", "digest of text"]).drop("digest of text")
+    return stay.unionByName(untouched).unionByName(kept)
 
 
 def op6_jaccard(spark, sf_dir: str) -> DataFrame:
