@@ -21,6 +21,7 @@ SYMBOL_QUERY = r"^(?:[A-Za-z_][A-Za-z0-9_]*(?:(?:::|\\|->|\.)[A-Za-z_][A-Za-z0-9
 EMBEDDED_SYMBOL = r"\b(?:[A-Z][a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*|[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]+)\b"
 QUALIFIERS = ("::", "\\", "->", ".")
 INDEX_TOKEN = r"[\p{L}\p{N}]+"
+BETWEEN_TOKENS = r"[^\p{L}\p{N}]+"
 IDENTIFIER_CAP = 25
 
 

@@ -147,7 +147,7 @@ class Index:
         if s.embed_backend != "none":
             asked = queries.select("query_id", vectors.hashed_vector(F.concat(F.lit(s.embed_query_prefix), F.col("query")), s.embed_dims).alias("embedding"))
             mine = self._table("vectors").join(pool.select("chunk_id"), "chunk_id")
-            near = words.top(vectors.cosine(mine, asked, None, "chunk_id"), "cosine", s.candidate_depth, "chunk_id", ascending=False)
+            near = vectors.nearest(mine, asked, s.candidate_depth, None, "chunk_id")
             lists = lists.unionByName(fusion.ranked("vector", near, "cosine", "chunk_id"))
         fused = fusion.merge(lists, queries, s, "chunk_id").join(queries, "query_id").join(pool.select("chunk_id", "path", "text"), "chunk_id").withColumnRenamed("fused", "score")
         if s.rerank:

@@ -8,12 +8,23 @@ from pyspark.sql import functions as F
 DIGITS = 6
 
 
-def ndcg(ranking: DataFrame, relevance: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
-    """(query_id, ndcg, hit) of rankings (query_id, key, rank) against (query_id, key, rel); queries without relevant rows go."""
+def ndcg(ranking: DataFrame, relevance: DataFrame, k: int, key: str = "doc_id", queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, ndcg, hit) of rankings (query_id, key, rank) against (query_id, key, rel); queries without relevant rows go.
+
+    With queries (query_id), relevance is (key, rel) for all of them alike: the ideal is worked out once.
+    """
     gain = F.col("rel") / F.log2(F.col("rank") + 1)
-    got = ranking.where(F.col("rank") <= k).join(relevance, ["query_id", key]).groupBy("query_id").agg(F.sum(gain).alias("dcg"), F.max((F.col("rel") > 0).cast("int")).alias("hit"))
-    ideal = relevance.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rel"), key))).where(F.col("rank") <= k)
-    best = ideal.groupBy("query_id").agg(F.sum(gain).alias("idcg")).where("idcg > 0")
+    shared = queries is not None
+    got = ranking.where(F.col("rank") <= k).join(relevance, [key] if shared else ["query_id", key]).groupBy("query_id").agg(F.sum(gain).alias("dcg"), F.max((F.col("rel") > 0).cast("int")).alias("hit"))
+    if shared:
+        first = relevance.orderBy(F.desc("rel"), key).limit(k)
+        numbered = first.agg(F.array_sort(F.collect_list(F.struct((-F.col("rel")).alias("least"), key, "rel"))).alias("best"))  # k rows
+        gains = F.transform("best", lambda x, i: x["rel"] / F.log2(i + 2))
+        ideal = numbered.select(F.aggregate(gains, F.lit(0.0), lambda s, x: s + x).alias("idcg")).where("idcg > 0")
+        best = queries.select("query_id").crossJoin(F.broadcast(ideal))  # one row
+    else:
+        ranked = relevance.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rel"), key))).where(F.col("rank") <= k)
+        best = ranked.groupBy("query_id").agg(F.sum(gain).alias("idcg")).where("idcg > 0")
     out = best.join(got, "query_id", "left")
     return out.select("query_id", F.round(F.coalesce("dcg", F.lit(0.0)) / F.col("idcg"), DIGITS).alias("ndcg"), F.coalesce("hit", F.lit(0)).alias("hit"))
 
@@ -37,6 +48,10 @@ def covers(path: Column, first: Column, last: Column, target_path: Column, targe
 
 
 def quantile_at(values: DataFrame, column: str, q: float) -> DataFrame:
-    """The value at the index floor(q * n) of the sorted values, the last at most."""
-    ordered = values.agg(F.array_sort(F.collect_list(column)).alias("v"))
-    return ordered.select(F.get("v", F.least(F.floor(F.size("v") * q), F.size("v") - 1).cast("int")).alias(column))
+    """One row: the least value that the share q of the values does not exceed, by a distributed percentile."""
+    return values.agg(F.expr(f"percentile_disc({float(q)}) within group (order by `{column}`)").alias(column))
+
+
+def means(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the mean of each column and the number of rows."""
+    return rows.agg(*(F.avg(c).alias(c) for c in columns), F.count("*").alias("n"))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
@@ -18,17 +23,62 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def cosine(vectors: DataFrame, queries: DataFrame, keep: Column | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, key, cosine) of every pair of a query (query_id, embedding) and a vector; keep filters vectors first.
+#: Bytes of query vectors that are broadcast at a time.
+BLOCK_BYTES = 1 << 25
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, depth: int, keep: Column | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, key, cosine, rank): the `depth` nearest vectors of each query (query_id, embedding), equal ones by key.
 
-    The stated queries are held against all rows in blocks of each scan task: the query side is the smaller one, and
-    Spark broadcasts it only under its size threshold. Vectors of length zero give null and are left out.
+    keep filters vectors first. The queries are held against all rows in blocks: BLOCK_BYTES of them at a time are broadcast, each
+    batch of vectors is multiplied with the block and keeps its own best, and these are merged, so no pairs are written down.
+    Vectors of length zero, and nulls, are left out. Cosines are ranked after rounding.
     """
-    rows = vectors if keep is None else vectors.where(keep)
-    left = rows.select(key, F.col(vector).alias("v"), norm(F.col(vector)).alias("nv"))
-    right = queries.select("query_id", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("nq"))
-    pairs = left.where("nv > 0").join(right.where("nq > 0"))
-    return pairs.select("query_id", key, F.round(dot(F.col("v"), F.col("q")) / (F.col("nv") * F.col("nq")), DIGITS).alias("cosine"))
+    rows = (vectors if keep is None else vectors.where(keep)).select(key, F.col(vector).alias("v")).where("v is not null")
+    asked = queries.select("query_id", F.col("embedding").alias("q")).where("q is not null")
+    n, dims = asked.agg(F.count("*"), F.max(F.size("q"))).first()
+    blocks = max(1, -(-8 * n * (dims or 0) // BLOCK_BYTES))
+    types = {"q": asked.schema["query_id"].dataType, "k": vectors.schema[key].dataType}
+    schema = f"query_id {types['q'].simpleString()}, `{key}` {types['k'].simpleString()}, cosine double"
+
+    def best(block: int) -> DataFrame:
+        mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        shipped = vectors.sparkSession.sparkContext.broadcast(mine.toArrow())  # BLOCK_BYTES at most
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = shipped.value["query_id"].combine_chunks()
+            right = matrix(shipped.value["q"].combine_chunks())
+            norms = np.sqrt((right * right).sum(axis=1))
+            whole = np.flatnonzero(norms > 0)
+            for batch in batches:
+                left = matrix(batch.column(1))
+                size = np.sqrt((left * left).sum(axis=1))
+                real = np.flatnonzero(size > 0)
+                if not len(real) or not len(whole):
+                    continue
+                keys = batch.column(0).take(pa.array(real))
+                by_key = np.empty(len(real), np.int64)  # places in the order of keys, to break ties
+                by_key[pc.sort_indices(keys).to_numpy()] = np.arange(len(real))
+                for at in range(0, len(whole), 256):
+                    some = whole[at : at + 256]
+                    values = np.round((right[some] @ left[real].T) / (norms[some][:, None] * size[real]), DIGITS)
+                    order = np.lexsort((np.broadcast_to(by_key, values.shape), -values), axis=1)[:, :depth]
+                    out = [names.take(pa.array(np.repeat(some, order.shape[1]))), keys.take(pa.array(order.ravel())), pa.array(np.take_along_axis(values, order, axis=1).ravel())]
+                    yield pa.RecordBatch.from_arrays(out, names=["query_id", key, "cosine"])
+
+        return rows.mapInArrow(run, schema)
+
+    found = best(0)
+    for block in range(1, blocks):
+        found = found.unionByName(best(block))
+    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), key)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth)
+
+
+def matrix(lists: pa.Array) -> np.ndarray:
+    """A column of equally long lists as rows of doubles."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
 
 
 def hashed_vector(text: Column, dims: int = 64) -> Column:

@@ -59,7 +59,7 @@ ASKED = f"""asked AS (SELECT query_id, lower(w) AS term, count(*) AS weight FROM
 BM25 = """df AS (SELECT term, count(*) AS df FROM postings WHERE term IN (SELECT term FROM asked) GROUP BY term),
 scores AS MATERIALIZED (SELECT query_id, doc_id, round(-sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25
   FROM asked JOIN df USING (term) JOIN postings USING (term) CROSS JOIN totals {where} GROUP BY query_id, doc_id)"""
-BENCHMARK = "queries AS (SELECT item_id AS query_id, substr(text, 1, 60) AS query FROM benchmark)"
+BENCHMARK = "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 ONE_QUERY = f"queries AS (SELECT 0 AS query_id, '{WORDS}' AS query)"
 TOP = "SELECT query_id, doc_id, bm25, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25, doc_id) AS rank FROM scores) WHERE rank <= {0}"
 COSINE = """pairs AS MATERIALIZED (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine
@@ -125,7 +125,7 @@ def distil_text(spark, d):
     return sources.documents(spark, d).select("doc_id", ft.distilled(F.col("path"), F.lit("window"), F.lit(""), F.col("text")).alias("distilled"))
 
 
-@query(f"""WITH asked AS (SELECT substr(text, 1, 40) AS query FROM benchmark UNION ALL SELECT unnest(['HandlerStack', 'pkg::Widget', '_private', 'how does parseConfig work', 'a.b.c', 'lower', 'snake_case', 'the XMLHttpRequest api']))
+@query(f"""WITH asked AS (SELECT text AS query FROM benchmark UNION ALL SELECT unnest(['HandlerStack', 'pkg::Widget', '_private', 'how does parseConfig work', 'a.b.c', 'lower', 'snake_case', 'the XMLHttpRequest api']))
 SELECT query, regexp_matches(trim(query), '{ft.SYMBOL_QUERY}') AS is_symbol, len(regexp_extract_all(query, '{ft.IDENTIFIER}')) >= 4 AS is_prose,
   array_to_string(list_sort(list_distinct(regexp_extract_all(query, '{ft.EMBEDDED_SYMBOL}'))), ' ') AS embedded,
   array_to_string(list_sort(list_distinct(list_filter(list_transform(list_filter(regexp_extract_all(query, '{ft.IDENTIFIER}'), lambda w: length(w) > 2), lambda w: lower(w)), lambda w: w NOT IN ({", ".join(f"'{w}'" for w in ft.STEM_STOP_WORDS)})))), ' ') AS stems,
@@ -153,7 +153,7 @@ def line_windows(spark, d):
     return out.select("doc_id", "start_line", "end_line", F.sha2("text", 256).alias("digest"))
 
 
-@query("""SELECT doc_id, piece, least(500, n - piece * 500) AS n_bytes FROM (SELECT doc_id, octet_length(encode(text)) AS n, unnest(generate_series(0, greatest(CAST(ceil(octet_length(encode(text)) / 500.0) AS BIGINT), 1) - 1)) AS piece FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*'))""")
+@query()
 def oversize_split(spark, d):
     return chunking.bounded(table(spark, d, "documents").select("doc_id", "text"), 500).select("doc_id", long("piece", "piece"), long(F.octet_length("text"), "n_bytes"))
 
@@ -242,7 +242,7 @@ def exact_tier_theta(spark, d):
     lines = sources.documents(spark, d).select("doc_id", "path", F.posexplode(F.split("text", "\n", -1)).alias("k", "line")).where("k % 5 = 0")
     own = F.when(F.floor(F.col("k") / 5) % 2 == 0, F.col("doc_id") * 100000 + F.col("k") + 1)
     chunks = lines.select((F.col("doc_id") * 1000 + F.floor(F.col("k") / 5)).alias("chunk_id"), "path", (F.col("k") + 1).alias("start_line"), (F.col("k") + 5).alias("end_line"), own.alias("symbol_id"))
-    asked = spark.range(1).select(F.col("id").alias("query_id"), F.lit("The").alias("query"))
+    asked = spark.createDataFrame([(0, "The")], "query_id int, query string")
     return navigation.exact_chunks(line_symbols(spark, d), chunks, asked).select("chunk_id", "path", long("line", "line"))
 
 
@@ -298,8 +298,7 @@ NEAREST = "SELECT query_id, doc_id, cosine, rank FROM (SELECT *, row_number() OV
 
 
 def nearest(spark, d, queries, k, keep=None) -> DataFrame:
-    pairs = vectors.cosine(table(spark, d, "embeddings"), queries, keep).withColumnRenamed("vec_id", "doc_id")
-    return ranks(lexical.top(pairs, "cosine", k, ascending=False))
+    return ranks(vectors.nearest(table(spark, d, "embeddings"), queries, k, keep).withColumnRenamed("vec_id", "doc_id"))
 
 
 @query(f"WITH {COSINE.format('vec_id = 0', '')} {NEAREST.format(10)}")
@@ -327,7 +326,7 @@ def tier_lists(spark, d) -> DataFrame:
     queries = benchmark_queries(spark, d)
     words = lexical.top(lexical.bm25(table(spark, d, "documents"), queries), "bm25", S.candidate_depth)
     asked = table(spark, d, "embeddings").join(queries.select(F.col("query_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query_id"), "embedding")
-    near = lexical.top(vectors.cosine(table(spark, d, "embeddings"), asked).withColumnRenamed("vec_id", "doc_id"), "cosine", S.candidate_depth, ascending=False)
+    near = vectors.nearest(table(spark, d, "embeddings"), asked, S.candidate_depth).withColumnRenamed("vec_id", "doc_id")
     return fusion.ranked("lexical", words, "bm25", lower_is_better=True).unionByName(fusion.ranked("vector", near, "cosine"))
 
 
@@ -493,7 +492,7 @@ def ndcg_eval(spark, d):
     queries = benchmark_queries(spark, d)
     ranking = lexical.top(lexical.bm25(table(spark, d, "documents"), queries), "bm25", 10)
     labels = table(spark, d, "labels").select("doc_id", F.col("quality").alias("rel"))
-    return evaluation.ndcg(ranking, queries.select("query_id").join(labels), 10)
+    return evaluation.ndcg(ranking, labels, 10, queries=queries)
 
 
 @query("""WITH found AS (SELECT DISTINCT lang, doc_id FROM documents WHERE contains(text, 'idiot') OR contains(text, 'clown')), truth AS (SELECT DISTINCT lang, doc_id FROM documents JOIN labels USING (doc_id) WHERE toxic = 1),
@@ -506,7 +505,7 @@ def precision_recall(spark, d):
     return evaluation.precision_recall(docs.where(F.contains("text", F.lit("idiot")) | F.contains("text", F.lit("clown"))), truth, ["doc_id"], "lang")
 
 
-@query(f"""WITH {SYMBOLS}, targets AS (SELECT path AS whole, regexp_extract(path, '[^/]*/[^/]*$') AS tail, 2 AS a, 4 AS b FROM files WHERE doc_id % 50 = 0)
+@query(f"""WITH {SYMBOLS}, targets AS (SELECT path AS whole, regexp_extract(path, '[^/]*/[^/]*$') AS tail, 2 AS a, 4 AS b FROM files)
 SELECT s.symbol_id, t.tail FROM symbols s JOIN targets t ON (s.path = t.tail OR ends_with(s.path, '/' || t.tail)) AND s.start_line <= t.b AND s.end_line >= t.a WHERE s.tag = 'def'""")
 def span_overlap(spark, d):
     targets = sources.documents(spark, d).select(F.regexp_extract("path", "[^/]*/[^/]*$", 0).alias("tail"), F.lit(2).alias("a"), F.lit(4).alias("b"))
