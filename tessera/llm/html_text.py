@@ -2,9 +2,13 @@
 
 The page is cut into blocks at block-level tags. The innermost marking element decides a block's region: article and
 main are content, elements that are by their tag, role or class a menu, header, footer, sidebar, notice, advert, form
-or reader comments are not, the rest is open. Pass one decides blocks by region, link density, length and stop-word
+or reader comments are not, the rest is open. Inside an article most class names are only a suspicion: what they mark is a
+region of its own that the block rules decide. Pass one decides blocks by region, link density, length and stop-word
 density; short blocks and long ones with few stop words stay undecided. In pass two these inherit the label of the
-nearest decided neighbours in their region; where those differ or there are none, the region decides: content stays, open blocks stay only on a page without a content region.
+nearest decided neighbours in their region; where those differ or there are none, the region decides: content stays, suspected
+blocks go, open blocks stay only on a page without a content region.
+
+Reading takes time in proportion to the page, whatever its tags and quotes look like.
 """
 
 from __future__ import annotations
@@ -33,6 +37,9 @@ OUTSIDE_NAMES = re.compile(
     r"|replies|login|signup|search|widget|toolbar|pagination|pager|skip-link|copyright)(?=$|[\s_-])",
     re.I,
 )
+#: Names that inside an article are but a suspicion; those of its own header are none.
+SUSPECT_NAMES = re.compile(r"(?:^|[\s_-])(?:header|masthead|banner|share|sharing|social|related|recommend\w*|search|widget|toolbar|copyright|overlay)(?=$|[\s_-])", re.I)
+HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?=$|[\s_-])", re.I)
 COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies)(?=$|[\s_-])", re.I)
 #: Frequent function words by language.
 STOP_WORDS = {
@@ -43,19 +50,19 @@ STOP_WORDS = {
 }
 _STOPS = {k: frozenset(v) for k, v in STOP_WORDS.items()}
 _ALL_STOPS = frozenset().union(*_STOPS.values())
-_TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|title|textarea|xmp)\b[^>]*>.*?(?:</\1[^>]*>|\Z)|<[a-z/!?][^<>"']*+>|<[a-z/!?](?:[^>"']++|"[^"]*+"|'[^']*+')*+>""",
-    re.I | re.S,
-)
+_PLAIN = re.compile(r"<[a-z/!?][^<>\"']*+>", re.I)
+_HIDDEN = re.compile(r"<(script|style|title|textarea|xmp)\b[^>]*+>", re.I)
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|lang|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 
 SHORT_WORDS, GOOD_STOPS, DENSE_LINKS, LIST_LINKS = 10, 0.2, 0.5, 0.8
 GOOD, BAD = True, False
+OUTSIDE, OPEN, CONTENT, SUSPECT = -1, 0, 1, 2
 
 
 @dataclass
 class Block:
-    """A block's text, the region's kind (1 content, 0 open, -1 outside) and number, its tag, and characters in links."""
+    """A block's text, the region's kind and number, its tag, and characters in links."""
 
     text: str
     kind: int
@@ -65,15 +72,66 @@ class Block:
     label: bool | None = None
 
 
+def marks(html: str) -> Iterator[tuple[int, int, str | None]]:
+    """(start, end, tag) of each piece of markup in order; the tag is None for comments and what hides its content.
+
+    A quote that is never closed, and a `<` from which no tag ends, are ordinary characters. Where a search has come to nothing
+    it is remembered, so no part of the page is searched time and again.
+    """
+    failing: set[int] = set()  # places outside quotes from which no tag ends
+    stop = (-1, -1, "")  # a search for the next stop: from, its place, the character
+    closing: dict[str, bool] = {}  # elements that have no end tag further on
+    at = html.find("<")
+    while at >= 0:
+        end, tag = -1, None
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            end = len(html) if end < 0 else end + 3
+        elif hidden := _HIDDEN.match(html, at):
+            name, end = hidden[1].lower(), len(html)
+            if not closing.get(name):
+                last = re.compile(f"</{name}[^>]*+>", re.I).search(html, hidden.end())
+                closing[name], end = last is None, last.end() if last else len(html)
+        elif plain := _PLAIN.match(html, at):
+            end, tag = plain.end(), plain.group()
+        elif html[at + 1 : at + 2].isascii() and (html[at + 1 : at + 2].isalpha() or html[at + 1 : at + 2] in ("/", "!", "?")):
+            place, path = at + 1, []
+            while place not in failing:
+                path.append(place)
+                if not stop[0] <= place <= stop[1]:
+                    found = _STOP.search(html, place)
+                    stop = (place, found.start(), found.group()) if found else (place, len(html), "")
+                if stop[2] in ("", ">"):
+                    end = stop[1] + 1 if stop[2] else -1
+                    break
+                closed = html.find(stop[2], stop[1] + 1)
+                place = (stop[1] if closed < 0 else closed) + 1
+            if end < 0:
+                failing.update(path)
+            tag = html[at:end] if end >= 0 else None
+        if end >= 0:
+            yield at, end, tag
+        at = html.find("<", end if end >= 0 else at + 1)
+
+
 def blocks(html: str) -> tuple[list[Block], str | None]:
     """The blocks of a page in order, and its language if it states one."""
     out: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # open elements: tag, kind and number of their region
+    stack: list[tuple[str, int, int]] = [("", OPEN, 0)]  # open elements: tag, kind and number of their region
+    places: dict[str, list[int]] = {}  # of each tag's open elements on the stack
     links = linked = regions = at = 0
     lang = None
     tag_of_block = ""
 
+    def push(tag: str, kind: int, region: int) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, kind, region))
+
+    def cut(size: int) -> None:
+        while len(stack) > size:
+            places[stack.pop()[0]].pop()
+
     def close() -> None:
         nonlocal parts, linked
         if parts:
@@ -91,11 +149,10 @@ def blocks(html: str) -> tuple[list[Block], str | None]:
             if links:
                 linked += len("".join(piece.split()))
 
-    for found in _TAG.finditer(html):
-        text_to(found.start())
-        at = found.end()
-        mark = found.group()
-        if found.group(1) or mark[1] in "!?":
+    for start, end, mark in marks(html):
+        text_to(start)
+        at = end
+        if mark is None or mark[1] in "!?":
             continue
         closing = mark[1] == "/"
         name = re.match(r"[a-z][a-z0-9:-]*", mark[1 + closing :], re.I)
@@ -112,20 +169,20 @@ def blocks(html: str) -> tuple[list[Block], str | None]:
         found_attributes = {} if closing or "=" not in mark and " hidden" not in mark else {a.lower(): (v or "").strip("\"'") for a, v in _ATTRIBUTE.findall(mark)}
         if tag == "html":
             lang = (found_attributes.get("lang") or "")[:2].lower() or lang
-        opened = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
+        opened = places[tag][-1] if places.get(tag) else 0
         if not is_block and not found_attributes and not opened:
             continue
         if closing:
             if is_block or stack[-1][1:] != stack[opened - 1][1:]:  # an inline end within one region ends no block
                 close()
             if opened:
-                del stack[opened:]
+                cut(opened)
             links = 0 if is_block else links
             continue
         kind = marked(tag, found_attributes, stack[-1][1])
         if not is_block and kind is None:
             if opened:  # so that its end is not taken for that of the marked one around it
-                stack.append((tag, stack[-1][1], stack[-1][2]))
+                push(tag, stack[-1][1], stack[-1][2])
             continue
         close()
         tag_of_block = tag
@@ -134,8 +191,8 @@ def blocks(html: str) -> tuple[list[Block], str | None]:
         if kind is not None:
             regions += 1
         if tag == "p" and stack[-1][0] == "p":  # a paragraph ends where the next begins
-            stack.pop()
-        stack.append((tag, stack[-1][1], stack[-1][2]) if kind is None else (tag, kind, regions))
+            cut(len(stack) - 1)
+        push(tag, stack[-1][1] if kind is None else kind, stack[-1][2] if kind is None else regions)
     text_to(len(html))
     close()
     return out, lang
@@ -145,13 +202,18 @@ def marked(tag: str, attributes: dict[str, str], outer: int) -> int | None:
     """The kind of region that an element opens, or None."""
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
     if tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article"):
-        return -1 if COMMENT_NAMES.search(names) else 1
+        return OUTSIDE if COMMENT_NAMES.search(names) else CONTENT
     if tag in ("html", "body"):
         return None
+    inside = outer in (CONTENT, SUSPECT)
     hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I)
-    if tag in OUTSIDE_TAGS or hidden or attributes.get("role", "").lower() in OUTSIDE_ROLES or tag == "header" and outer != 1:
-        return -1
-    return -1 if OUTSIDE_NAMES.search(names) and tag not in ("h1", "h2", "h3") else None
+    if tag in OUTSIDE_TAGS or hidden or attributes.get("role", "").lower() in OUTSIDE_ROLES or tag == "header" and not inside:
+        return OUTSIDE
+    if not OUTSIDE_NAMES.search(names) or tag in ("h1", "h2", "h3"):
+        return None
+    if not inside or OUTSIDE_NAMES.search(SUSPECT_NAMES.sub(" ", names)):
+        return OUTSIDE
+    return None if HEADER_NAMES.search(names) else SUSPECT
 
 
 def classify(found: list[Block], lang: str | None) -> None:
@@ -161,16 +223,14 @@ def classify(found: list[Block], lang: str | None) -> None:
         size = len(b.text.replace(" ", ""))
         density = b.linked / size
         words = b.text.lower().split()
-        if b.kind < 0:
+        prose = len(words) >= SHORT_WORDS and sum(w.strip(".,;:!?\"'()") in stops for w in words) >= GOOD_STOPS * len(words)
+        if b.kind == OUTSIDE:
             b.label = BAD
-        elif b.kind > 0:
-            if density > LIST_LINKS and b.tag in ("li", "td", "div", "dd", "ul"):
-                b.label = BAD
-            elif len(words) >= SHORT_WORDS and sum(w.strip(".,;:!?\"'()") in stops for w in words) >= GOOD_STOPS * len(words):
-                b.label = GOOD
-        elif density > DENSE_LINKS or "\N{COPYRIGHT SIGN}" in b.text:
+        elif b.kind == CONTENT:
+            b.label = BAD if density > LIST_LINKS and b.tag in ("li", "td", "div", "dd", "ul") else GOOD if prose else None
+        elif density > DENSE_LINKS or "\N{COPYRIGHT SIGN}" in b.text and len(words) < 2 * SHORT_WORDS:
             b.label = BAD
-        elif len(words) >= SHORT_WORDS and sum(w.strip(".,;:!?\"'()") in stops for w in words) >= GOOD_STOPS * len(words):
+        elif prose:
             b.label = GOOD
     before: list[tuple[bool | None, int]] = []
     last: dict[int, tuple[bool, int]] = {}
@@ -179,7 +239,7 @@ def classify(found: list[Block], lang: str | None) -> None:
         if b.label is not None:
             last[b.region] = (b.label, k)
     after: dict[int, tuple[bool, int]] = {}
-    has_content = any(b.kind > 0 for b in found)
+    has_content = any(b.kind == CONTENT for b in found)
     for k in range(len(found) - 1, -1, -1):
         b = found[k]
         if b.label is not None:
@@ -192,7 +252,7 @@ def classify(found: list[Block], lang: str | None) -> None:
             label = left
         else:
             label = left if k - i < j - k else right if j - k < k - i else None
-        b.label = (b.kind > 0 or not has_content) if label is None else label
+        b.label = (b.kind == CONTENT or b.kind == OPEN and not has_content) if label is None else label
         # what is inherited decides nothing further: after and before hold first-pass labels only
 
 
@@ -206,8 +266,9 @@ def main_text(html: str) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """Rows (page_id, url, html) to (page_id, url, text, n_chars), a row for each row.
 
-    A null or empty html gives an empty text and 0; a page without content blocks too. n_chars counts code points.
-    Repeated rows stay; other columns are ignored.
+    A null or empty html gives an empty text and 0; a page without content blocks too. A null url stays null. n_chars counts
+    code points. A page of any size is read whole, in time in proportion to it, by one task. Repeated rows stay; an empty table
+    gives no rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
