@@ -5,8 +5,9 @@ can no longer change its end. Inside a pre-token, merges run over a buffer; a to
 least ``lookahead`` bytes before the end of the buffer. ``lookahead`` follows from the merge list alone: unseen
 bytes can change whether a merge (u, v) happens only through its right operand; the change then reaches the
 token at its left only through a merge of lower priority whose right operand starts where u starts. The longest
-chain of such merges, times the longest token, bounds how far unseen text reaches to the left. What follows an
-emitted boundary is encoded alone, as no merge crosses it. Memory is constant: one slice or block and one buffer of twice the lookahead.
+chain of such merges, each counted with the bytes of its left operand, and one token more bound how far unseen text reaches to
+the left. What follows an emitted boundary is encoded alone, as no merge crosses it. Memory is constant: one slice or block
+and one buffer of twice the lookahead; digests and the check by decoding take each part as it comes.
 
 Short pre-tokens that are closed need no lookahead: those of a block (many short texts, or a slice of a long one)
 are split by character classes and merged side by side in arrays, each distinct pre-token once. Pre-tokens are told
@@ -35,7 +36,7 @@ from .arrays import spread
 #: The splitting pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of a slice of the stream, and of a block at most; bytes of a pre-token that is merged in arrays.
-SLICE, BLOCK, SHORT = 1 << 16, 1 << 21, 48
+SLICE, BLOCK, SHORT = 1 << 16, 1 << 19, 48
 LETTER, NUMBER, SPACE, OTHER, SEAM = range(5)
 NEVER = np.int32(2**31 - 1)
 
@@ -80,7 +81,7 @@ class Transducer:
             u, v = pair.split(" ") if isinstance(pair, str) else pair
             self.merges.setdefault((vocab[u], vocab[v]), (rank, vocab[u + v]))
         self.longest = max(map(len, self.bytes_of))
-        self.lookahead = self.chain() * self.longest
+        self.lookahead = self.chain() + self.longest
         self.pattern = regex.compile(PATTERN)
         self.splitter = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.classes = character_classes()
@@ -218,14 +219,14 @@ class Transducer:
         return [out[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def chain(self) -> int:
-        """The longest chain of merges through which unseen text can act to the left (see the module's text)."""
+        """The most bytes that a chain of merges spans through which unseen text can act to the left (see the module's text)."""
         starts: dict[int, set[int]] = {}  # token -> tokens its derivations start with
         longest_by_left: dict[int, int] = {}
         longest = 1
         for (u, v), (_, made) in sorted(self.merges.items(), key=lambda x: x[1][0]):
-            depth = 1 + max((longest_by_left.get(x, 0) for x in (v, *starts.get(v, ()))), default=0)
-            longest = max(longest, depth)
-            longest_by_left[u] = max(longest_by_left.get(u, 0), depth)
+            reach = len(self.bytes_of[u]) + max((longest_by_left.get(x, 0) for x in (v, *starts.get(v, ()))), default=0)
+            longest = max(longest, reach)
+            longest_by_left[u] = max(longest_by_left.get(u, 0), reach)
             starts.setdefault(made, set()).update({u}, starts.get(u, ()))
         return longest
 
@@ -362,35 +363,47 @@ class Transducer:
             at += int(ends[-1]) + 1
         yield text[at:]
 
-    def encode_many(self, texts: Iterable[str]) -> Iterator[list[bytes]]:
-        """Packed ids of each text, in blocks where the texts allow it and by the stream elsewhere."""
-        pieces, owners, parts, held = [], [], [], 0
-
-        def flushed() -> Iterator[list[bytes]]:
-            nonlocal pieces, owners, parts, held
-            for owner, ids in zip(owners, self.encode_block(pieces) if pieces else (), strict=True):
-                owner[0] = ids
-            yield from ([x[0] for x in each] for each in parts)
-            pieces, owners, parts, held = [], [], [], 0
+    def encode_many(self, texts: Iterable[str]) -> Iterator[Iterable[bytes]]:
+        """Packed ids of each text in parts: short texts together in blocks, a long one part by part as it is asked for."""
+        short: list[str] = []
+        held = 0
+        for text in texts:
+            if len(text) > BLOCK or held + len(text) > BLOCK:
+                yield from self.encode_short(short)
+                short, held = [], 0
+            if len(text) > BLOCK:
+                yield self.encode_long(text)
+            else:
+                short.append(text)
+                held += len(text)
+        yield from self.encode_short(short)
 
+    def encode_short(self, texts: list[str]) -> list[list[bytes]]:
+        """Packed ids of each of some texts of a block in all."""
+        pieces, owners, parts = [], [], []
         for text in texts:
-            if held + len(text) > BLOCK:
-                yield from flushed()
             mine: list[list[bytes]] = []
             for piece, special in self.parted(text):
-                for block in [piece] if special or len(piece) <= BLOCK else self.cut(piece):
-                    slot = [pack([self.special[block]])] if special else [b""]
-                    mine.append(slot)
-                    if not special and len(block) > BLOCK:  # one unbroken run
-                        slot[0] = b"".join(self.encode_plain(block[k : k + SLICE] for k in range(0, len(block), SLICE)))
-                    elif not special and len(text) > BLOCK:
-                        slot[0] = self.encode_block([block])[0]
-                    elif not special:
-                        pieces.append(block)
-                        owners.append(slot)
-            held += len(text)
+                mine.append([pack([self.special[piece]])] if special else [b""])
+                if not special:
+                    pieces.append(piece)
+                    owners.append(mine[-1])
             parts.append(mine)
-        yield from flushed()
+        for owner, ids in zip(owners, self.encode_block(pieces) if pieces else (), strict=True):
+            owner[0] = ids
+        return [[x[0] for x in each] for each in parts]
+
+    def encode_long(self, text: str) -> Iterator[bytes]:
+        """Packed ids of a text over a block: closed pre-tokens a block at a time, one unbroken run as a stream."""
+        for piece, special in self.parted(text):
+            if special:
+                yield pack([self.special[piece]])
+                continue
+            for block in self.cut(piece):
+                if len(block) > BLOCK:
+                    yield from self.encode_plain(block[k : k + SLICE] for k in range(0, len(block), SLICE))
+                else:
+                    yield from self.encode_block([block])
 
     def decode(self, packed: Iterable[bytes]) -> Iterator[str]:
         """Text of packed ids, slice by slice."""
@@ -426,25 +439,38 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, keep_ids: bool = Tru
         shipped = spark.sparkContext.broadcast(file.read())
     id_type = docs.schema[id_column].dataType.simpleString()
 
+    def digested(machine: Transducer, text: str, parts: Iterable[bytes]) -> tuple[int, str, str, bytes] | None:
+        """(n_tokens, digests of ids and of their text, ids), or None if that text is another; holds a part at a time."""
+        sha, read, kept, n, at = hashlib.sha256(), hashlib.sha256(), [], 0, 0
+
+        def seen() -> Iterator[bytes]:
+            nonlocal n
+            for part in parts:
+                n += len(part) >> 2
+                sha.update(part)
+                if keep_ids:
+                    kept.append(part)
+                yield part
+
+        for back in machine.decode(seen()):
+            if not text.startswith(back, at):
+                return None
+            at += len(back)
+            read.update(back.encode())
+        return (n, sha.hexdigest(), read.hexdigest(), b"".join(kept)) if at == len(text) else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = loaded(shipped.value)
         for batch in batches:
             counts, digests, decoded, kept = [], [], [], []
             texts = [x.as_py() or "" for x in batch.column(1)]
             for text, parts in zip(texts, machine.encode_many(texts), strict=True):
-                back = list(machine.decode(parts))
-                if "".join(back) != text:  # a collision of hashes
-                    parts = list(machine.encode(text))
-                    back = list(machine.decode(parts))
-                sha, read = hashlib.sha256(), hashlib.sha256()
-                for part in parts:
-                    sha.update(part)
-                for piece in back:
-                    read.update(piece.encode())
-                counts.append(sum(map(len, parts)) >> 2)
-                digests.append(sha.hexdigest())
-                decoded.append(read.hexdigest())
-                kept.append(b"".join(parts) if keep_ids else b"")
+                # None is a collision of hashes
+                n, sha, read, ids = digested(machine, text, parts) or digested(machine, text, machine.encode(text))
+                counts.append(n)
+                digests.append(sha)
+                decoded.append(read)
+                kept.append(ids)
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:

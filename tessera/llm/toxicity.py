@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 BITS = 22
 FEATURES = 1 << BITS
@@ -110,7 +110,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12000, least_texts:
     """
     clean = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id")
+    # of several texts of an id that with the least hash: the sample has max_rows rows at most; it is written once and read thrice
+    sample = written(sample.agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").cast("int").alias("toxic")).select("text", "toxic"), "sample")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

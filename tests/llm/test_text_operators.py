@@ -35,6 +35,30 @@ def test_bpe_equals_the_library_in_blocks_and_as_a_stream(machine, monkeypatch):
             assert "".join(machine.decode([want])) == library.decode(library.encode(text, add_special_tokens=False).ids, skip_special_tokens=False)
 
 
+def test_bpe_emits_early_and_alike(machine, monkeypatch):
+    """Pre-tokens of many times the lookahead, in blocks smaller than a text, against the library."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(bpe, "BLOCK", 3000)
+    rng = random.Random(9)
+    letters = "etaoinshrdlucmfwypvbgkqjxz"
+    runs = ["".join(rng.choices(letters, weights=range(26, 0, -1), k=20_000)) for _ in range(3)]
+    runs += ["".join(rng.choice(["the", "ation", "ing", "x", "er", "aa", "é"]) for _ in range(6000)), "ab" * 9000, "é" * 9000, "=" * 12_000, "-=" * 6000, "0123456789" * 1500]
+    texts = [*runs, " ".join(r[:4000] for r in runs), "a b<|endoftext|>c" + runs[0][:9000]]
+    emitted = 0
+    for text, parts in zip(texts, machine.encode_many(texts), strict=True):
+        want = bpe.pack(library.encode(text, add_special_tokens=False).ids)
+        streamed = list(machine.encode(text))
+        emitted += len(streamed) > 1
+        assert b"".join(parts) == want == b"".join(streamed)
+    for run in runs:
+        got = [i for ids in machine.streamed(run.encode()[k : k + 100] for k in range(0, len(run.encode()), 100)) for i in ids]
+        assert bpe.pack(got) == bpe.pack(library.encode(run, add_special_tokens=False).ids)
+        emitted += 1
+    assert machine.lookahead < 4000 and emitted
+
+
 def test_bpe_edges(docs_of):
     got = {r.doc_id: r for r in bpe.encode_documents(docs_of(EDGES), public_tokenizers.path("byte_bpe_50k.json")).collect()}
     assert len(got) == len(EDGES) and got[0].n_tokens == 0 and got[0].decoded_sha256 == hashlib.sha256(b"").hexdigest()
@@ -66,6 +90,26 @@ def test_quality_counts(docs_of):
         assert r.base_failed == (len(words) < 50 or 2 * len(covered) > len(words)) and not (r.base_failed and r.kept)
 
 
+def test_toxicity_on_held_out_rows(spark):
+    """Rows whose labels are not learnt from. About one toxic row in ten of these tables has no toxic word in it."""
+    from tessera.llm.common import table
+
+    sf = "/root/testdata/sf0.1"
+    scored = toxicity.op1_toxicity(spark, sf).where("held_out").join(table(spark, sf, "labels"), "doc_id")
+    got = {(r.toxic, r.predicted): r["count"] for r in scored.groupBy("toxic", "predicted").count().collect()}
+    assert got[1, 1] >= 0.86 * (got[1, 1] + got[1, 0]) and got.get((0, 1), 0) <= 0.005 * got[0, 0]
+
+
+def test_toxicity_tables(spark, docs_of):
+    """Repeated ids and rows, an empty table, and columns with the names used inside."""
+    docs = spark.createDataFrame([(1, "good words here", 1), (1, "good words here", 1), (2, "bad words", 2), (2, "another text", 2), (3, None, 3)], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, least_texts=1, least_ratio=0.1)
+    out = toxicity.score(docs, model, docs.columns, "own score")
+    assert out.count() == 5 and out.columns == ["doc_id", "text", "score", "own score"]
+    assert toxicity.score(docs.limit(0), model).count() == 0 and len(toxicity.fit(docs.limit(0), labels).slots) == 0
+
+
 def test_toxicity_learns_and_is_fair_to_edges(spark, docs_of):
     rng = random.Random(4)
     texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(30)) + (" vileword" if k % 3 == 0 else "") for k in range(90)]
