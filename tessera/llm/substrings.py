@@ -92,7 +92,8 @@ class Grams:
         owner = np.searchsorted(self.begins, starts, "right") - 1
         new = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
         stop = np.append(new[1:], len(starts)) - 1
-        self.every, self.owner, self.hash, self.first, self.last, self.at = hashes, owner[new], hashes[at[new]], starts[new], starts[stop], at[new]
+        # least hashes are small numbers: mixed again, their first digits are as good as the others
+        self.every, self.owner, self.hash, self.first, self.last, self.at = hashes, owner[new], mixed(hashes[at[new]] + np.uint64(GRAM)), starts[new], starts[stop], at[new]
 
     def window_hashes(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """128 bits for each window, from the grams that cover it."""
