@@ -11,8 +11,8 @@ unrelated sets share.
 
 Only signatures that two sets may share leave the scan (a map of fixed size, bitmap.py). Nodes that share one are candidates.
 First each signature's smallest node is compared with the others, its text sent once for so many of them; then, for what that
-has not connected, all nodes of different components under one signature: in one group where a signature has few, else in
-blocks against blocks. No pair under a signature that could still connect two components stays uncompared, and no pair is
+has not connected, all nodes of different components under one signature: all that such signatures connect in one group where
+that is small, else a signature's nodes in one group, or in blocks against blocks. No pair under a signature that could still connect two components stays uncompared, and no pair is
 written down unless it links.
 
 Similar sets are in one component, so links are counted there: block against block, each pair of a component's nodes once.
@@ -353,11 +353,21 @@ def component_table(docs: DataFrame, nodes: DataFrame, size: int, percent: int,
     counts = rooted.groupBy("signature", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s")).groupBy("signature")
     counts = counts.agg(F.sum("c").alias("m"), F.sum("s").alias("s"), F.count("*").alias("roots"), F.max_by("root", "c").alias("main"), F.max("c").alias("mains"))
     open_ = written(rooted.join(counts.where("roots > 1 and m > 2"), "signature"), "open")
-    small = (F.col("m") <= limits.block) & (F.col("s") <= limits.shingles)
+    # what open signatures connect, small enough to be compared at once, each text sent once
+    tied = open_.groupBy("signature").agg(F.min("key").alias("low")).join(open_.select("signature", "key"), "signature").select(F.col("low").alias("a"), F.col("key").alias("b"))
+    tied = written(components(tied), "tied").select(F.col("node").alias("key"), F.col("root").alias("cluster"))
+    tied = tied.join(nodes.select("key", "n"), "key")
+    fits = lambda count, sum_: (F.col(count) <= limits.block) & (F.col(sum_) <= limits.shingles)
+    little = written(tied.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("s")).where(fits("c", "s")).select("cluster"), "little")
+    together = written(tied.join(little, "cluster", "left_semi").select("key", "cluster"), "together")
+    few = together.join(open_.select("key", "root").distinct(), "key").select("cluster", "key", "root", side(2))
+    more = written(against(few, ["cluster"]), "links")
+    open_ = open_.join(together, "key", "left_anti")  # a signature's nodes are of one cluster
+    small = fits("m", "s")
     # few nodes: one group for all signatures that have the same ones
     lists = open_.where(small).groupBy("signature").agg(F.array_sort(F.collect_list(F.struct("key", "root"))).alias("nodes")).select("nodes").distinct()
     few = lists.select(F.xxhash64("nodes").alias("list"), F.explode("nodes").alias("x")).select("list", "x.key", "x.root", side(2))
-    more = written(against(few, ["list"]), "links")
+    more = more.unionByName(written(against(few, ["list"]), "links"))
     # many: all but the largest component's nodes are held against all
     most = lambda count: F.greatest(F.lit(1), F.ceil(F.col(count) / limits.block), F.ceil(F.col("s") / limits.shingles)).cast("int")
     many = open_.where(~small).withColumn("rest", F.col("m") - F.col("mains")).withColumn("ts", most("m")).withColumn("qs", most("rest"))

@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import texts_of
 from .common import table, written
 
 BITS = 22
 FEATURES = 1 << BITS
 SIZES = (3, 4, 5, 6)
 #: Characters that are hashed at a time; a longer text goes in pieces that overlap by the longest n-gram.
-SPAN = 1 << 20
+SPAN = 1 << 18
 _FOLD: list[np.ndarray] = []
 
 
@@ -55,7 +56,7 @@ def fold() -> np.ndarray:
 
 def hits(texts: list[str], wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (text number, slot or place in wanted, count) of all n-grams, in order; wanted: a Model.lookup()."""
-    keys: list[np.ndarray] = []
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     pieces, owners, held = [], [], 0
 
     def flushed() -> None:
@@ -68,7 +69,7 @@ def hits(texts: list[str], wanted: np.ndarray | None) -> tuple[np.ndarray, np.nd
         stay = ~(blank[1:] & blank[:-1])
         chars, owner = chars[1:][stay].astype(np.uint64), owner[1:][stay]
         chars, owner = np.concatenate([[np.uint64(32)], chars]), np.concatenate([owner[:1], owner])
-        rolled = chars.copy()
+        rolled, keys = chars.copy(), [np.zeros(0, np.int64)]
         for n in range(2, SIZES[-1] + 1):
             if len(chars) < n:
                 break
@@ -82,6 +83,7 @@ def hits(texts: list[str], wanted: np.ndarray | None) -> tuple[np.ndarray, np.nd
                     place = wanted[slot]
                     at = np.flatnonzero((place > 0) & same)
                     keys.append(owner[at].astype(np.int64) << 32 | place[at])
+        found.append(np.unique(np.concatenate(keys), return_counts=True))
         pieces, owners, held = [], [], 0
 
     for number, text in enumerate(texts):
@@ -96,9 +98,15 @@ def hits(texts: list[str], wanted: np.ndarray | None) -> tuple[np.ndarray, np.nd
             owners.append(number)
             held += len(piece)
     flushed()
-    found = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-    unique, counts = np.unique(found, return_counts=True)
-    return unique >> 32, unique & 0xFFFFFFFF, counts
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    keys, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+    if len(found) > 1:  # a text in pieces has a slot in several
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        keys, counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    return keys >> 32, keys & 0xFFFFFFFF, counts
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12000, least_texts: int = 4, least_ratio: float = 2.0, l2: float = 1e-4, steps: int = 150) -> Model:
@@ -115,9 +123,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12000, least_texts:
     sample = written(sample.agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").cast("int").alias("toxic")).select("text", "toxic"), "sample")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, toxic = [x or "" for x in batch.column(0).to_pylist()], np.array(batch.column(1).to_pylist(), np.int64)
-            owner, slot, _ = hits(texts, None)
+        for batch, at, texts in ((b, at, texts) for b in batches for at, texts in texts_of(b.column(0), SPAN)):
+            toxic = batch.column(1).slice(at, len(texts)).to_numpy()
+            owner, slot, _ = hits([t.decode() for t in texts], None)
             slots, place = np.unique(slot, return_inverse=True)
             with_toxic = np.bincount(place, toxic[owner] > 0, len(slots)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (slots, with_toxic, np.bincount(place, minlength=len(slots)) - with_toxic)], names=["slot", "toxic", "other"])
