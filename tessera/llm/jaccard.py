@@ -10,10 +10,10 @@ content alone decides): the most telling one that both agree on is kept by both.
 unrelated sets share.
 
 Only signatures that two sets may share leave the scan (a map of fixed size, bitmap.py). Nodes that share one are candidates.
-First each signature's smallest node is compared with the others, its text sent once for so many of them; then, for what that
-has not connected, all nodes of different components under one signature: all that such signatures connect in one group where
-that is small, else a signature's nodes in one group, or in blocks against blocks. No pair under a signature that could still connect two components stays uncompared, and no pair is
-written down unless it links.
+First each signature's smallest node is compared with the others, its text sent once for so many of them. Then, for what that
+has not connected, the nodes of different components under one signature are held against each other by sketches, a few bytes
+each: in one group where a signature has few, else in blocks against blocks. A sketch never rules out a pair that links; the
+pairs left are compared like the first. No pair under a signature that could still connect two components stays undecided.
 
 Similar sets are in one component, so links are counted there: block against block, each pair of a component's nodes once.
 """
@@ -35,18 +35,22 @@ from .common import table, written
 from .graph import components
 
 SUBS = 3
+#: Bits of a sketch, a power of two.
+SKETCH = 1024
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Bytes of text hashed at a time; sets, and shingles in all, of a block (a single set may have more); members of a star
-    that one task compares; columns of a product of blocks. They bound memory, not results."""
+    """Bytes of text hashed at a time; nodes of a block that is compared by sketches; members of a star that one task compares;
+    sets, and shingles in all, of a block whose links are counted (a single set may have more); columns of a product of
+    blocks. They bound memory, not results."""
 
     span: int = 1 << 19
     block: int = 256
-    shingles: int = 1 << 18
     star: int = 1024
-    columns: int = 1 << 13
+    sets: int = 2048
+    shingles: int = 1 << 20
+    columns: int = 1 << 11
 
 
 def bands(top: int, percent: int) -> list[tuple[int, int]]:
@@ -197,15 +201,29 @@ def texts_of_sets(rows: DataFrame, marks, size: int, span: int) -> DataFrame:
         seen: set[int] = set()
         for texts, sets in marked_texts(batches, marks.value, size, span):
             fresh = [(key, t) for t, s in zip(texts, sets, strict=True) if (key := key_of(s)) is not None and key not in seen and not seen.add(key)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in fresh], pa.int64()), pa.array([packed(t) for _, t in fresh], pa.binary())], names=["key", "packed"])
+            sketches = {key_of(s): sketch(s) for s in sets if len(s)}
+            columns = [pa.array([k for k, _ in fresh], pa.int64()), pa.array([packed(t) for _, t in fresh], pa.binary()), pa.array([sketches[k] for k, _ in fresh], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "packed", "sketch"])
 
-    return rows.mapInArrow(run, "key bigint, packed binary")
+    return rows.mapInArrow(run, "key bigint, packed binary, sketch binary")
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """SKETCH bits: whether an odd number of shingles falls on each. Two sketches differ in no more bits than the sets in elements."""
+    return np.packbits(np.bincount((shingles >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
 
 
 def shared_counts(qs: list[np.ndarray], ts: list[np.ndarray], columns: int) -> np.ndarray:
-    """The size of the intersection of each of qs with each of ts, as products of 0/1 blocks over some columns at a time."""
+    """The size of the intersection of each of qs with each of ts, as products of 0/1 blocks over some columns at a time.
+
+    Columns that one set alone holds are left out, so where qs are ts a set's count with itself may be too small.
+    """
     values = np.concatenate(qs)
-    known = np.unique(values)
+    known, often = np.unique(values, return_counts=True)
+    known = known[often > 1] if qs is ts else np.intersect1d(known, np.concatenate(ts))
+    if not len(known):
+        return np.zeros((len(qs), len(ts)), np.int64)
+    everywhere = known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
     own_q, own_t = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (qs, ts))
     theirs = np.concatenate(ts)
     at = np.searchsorted(known, theirs)
@@ -214,7 +232,7 @@ def shared_counts(qs: list[np.ndarray], ts: list[np.ndarray], columns: int) -> n
     own_t, at_t = own_t[hit], at[hit]
     if len(qs) == 1:
         return np.bincount(own_t, minlength=len(ts))[None, :]
-    at_q, out = np.searchsorted(known, values), np.zeros((len(qs), len(ts)), np.float32)
+    own_q, at_q, out = own_q[everywhere], np.searchsorted(known, values[everywhere]), np.zeros((len(qs), len(ts)), np.float32)
     for low in range(0, len(known), columns):
         blocks = []
         for at, own, rows in ((at_q, own_q, len(qs)), (at_t, own_t, len(ts))):
@@ -227,69 +245,67 @@ def shared_counts(qs: list[np.ndarray], ts: list[np.ndarray], columns: int) -> n
 
 
 def linked(qs: list[np.ndarray], ts: list[np.ndarray], percent: int, columns: int) -> np.ndarray:
-    """Whether each of qs is similar enough to each of ts."""
+    """Whether each of qs is similar enough to each of ts; a set is to itself."""
     shared = shared_counts(qs, ts, columns)
     a, b = (np.array([len(s) for s in x]) for x in (qs, ts))
-    return 100 * shared >= percent * (a[:, None] + b[None, :] - shared)
+    out = 100 * shared >= percent * (a[:, None] + b[None, :] - shared)
+    if qs is ts:
+        np.fill_diagonal(out, True)
+    return out
 
 
-def group_links(sets: list[np.ndarray], keys: np.ndarray, roots: np.ndarray, side: np.ndarray, percent: int, columns: int) -> list[np.ndarray]:
-    """Columns a, b: spanning links of different roots between sides 0 and 1 of a group, or inside it where all are side 2."""
-    qs, ts = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    if not len(qs) or not len(ts):
+def star_links(sets: list[np.ndarray], keys: np.ndarray, side: np.ndarray, percent: int, columns: int) -> list[np.ndarray]:
+    """Columns a, b: the sets of side 1 that are similar to that of side 0."""
+    [head], others = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(others):
         return [np.zeros(0, np.int64)] * 2
-    x, y = np.nonzero(linked([sets[k] for k in qs], [sets[k] for k in ts], percent, columns))
-    x, y = qs[x], ts[y]
-    apart = np.flatnonzero(roots[x] != roots[y])
-    parent, links = {}, []
-
-    def root(r: int) -> int:
-        while parent.setdefault(r, r) != r:
-            parent[r] = parent[parent[r]]
-            r = parent[r]
-        return r
-
-    for k in apart:
-        a, b = root(int(roots[x[k]])), root(int(roots[y[k]]))
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            links.append(k)
-    return [keys[x[links]], keys[y[links]]] if links else [np.zeros(0, np.int64)] * 2
-
-
-def group_counts(sets: list[np.ndarray], keys: np.ndarray, roots: np.ndarray, side: np.ndarray, percent: int, columns: int) -> list[np.ndarray]:
-    """Columns key, links: the similar sets of each set on the other side, or in the group where all are side 2."""
+    found = others[linked([sets[head]], [sets[k] for k in others], percent, columns)[0]]
+    return [np.full(len(found), keys[head]), keys[found]]
+
+
+def near_pairs(rows: pa.Table, percent: int) -> list[np.ndarray]:
+    """Columns a, b, n: pairs of different roots, between sides 0 and 1 or inside side 2, that sizes and sketches don't rule out.
+
+    Similar sets of a and b elements differ in (a + b)(1 - s) / (1 + s) at most; sketches can't differ in more.
+    """
+    keys, roots, side, n = (rows[c].to_numpy() for c in ("key", "root", "side", "n"))
+    bits = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(keys), -1)
     qs, ts = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    out = [np.zeros((3, 0), np.int64)]
+    for at in range(0, len(qs), 64):
+        q = qs[at : at + 64]
+        apart = np.bitwise_count(bits[q][:, None, :] ^ bits[ts][None, :, :]).sum(axis=2, dtype=np.int64)
+        a, b = n[q][:, None], n[ts][None, :]
+        may = (apart * (100 + percent) <= (a + b) * (100 - percent)) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent) & (roots[q][:, None] != roots[ts][None, :])
+        x, y = np.nonzero(may)
+        x, y = q[x], ts[y]
+        out.append(np.stack([np.minimum(keys[x], keys[y]), np.maximum(keys[x], keys[y]), np.where(keys[x] > keys[y], n[x], n[y])]))
+    return list(np.unique(np.concatenate(out, axis=1), axis=1))
+
+
+def group_counts(sets: list[np.ndarray], keys: np.ndarray, side: np.ndarray, percent: int, columns: int) -> list[np.ndarray]:
+    """Columns key, links: the similar sets of each set on the other side, or in the group where all are side 2."""
     links = np.zeros(len(sets), np.int64)
-    if len(qs) and len(ts):
+    if (side == 2).all():
+        links += linked(sets, sets, percent, columns).sum(axis=1) - 1  # not with itself
+    elif (side == 0).any() and (side == 1).any():
+        qs, ts = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         found = linked([sets[k] for k in qs], [sets[k] for k in ts], percent, columns)
         links[qs] += found.sum(axis=1)
-        if (side == 2).all():
-            links -= 1  # not with itself
-        else:
-            links[ts] += found.sum(axis=0)
+        links[ts] += found.sum(axis=0)
     return [keys, links]
 
 
-def compared(groups: DataFrame, by: list[str], texts: DataFrame, work: Callable, schema: str, size: int, percent: int, limits: Limits) -> DataFrame:
-    """work() on each group of rows (by, key, root, side): its sets, keys, roots and sides."""
+def grouped(rows: DataFrame, by: list[str], work: Callable, schema: str) -> DataFrame:
+    """work() on the rows of each value of `by` (numbers), as an Arrow table; it returns columns of schema. Groups are bounded."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[pa.RecordBatch] = []
 
         def done() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(parts)
-            rows = rows.filter(pa.array(~repeated(rows["key"].to_numpy(), rows["side"].to_numpy())))
-            sets: list[np.ndarray] = []
-            some: list[bytes] = []
-            for chunk in rows["packed"].chunks:
-                for x in chunk:
-                    some.append(unpacked(x.as_py()))
-                    if sum(map(len, some)) >= limits.span:
-                        sets, some = sets + shingle_sets(some, size), []
-            sets += shingle_sets(some, size) if some else []
-            out = work(sets, rows["key"].to_numpy(), rows["root"].to_numpy(), rows["side"].to_numpy(), percent, limits.columns)
+            table_ = pa.Table.from_batches(parts)
+            out = work(table_.filter(pa.array(~repeated(table_["key"].to_numpy(), table_["side"].to_numpy()))))
             if len(out[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
 
@@ -308,10 +324,29 @@ def compared(groups: DataFrame, by: list[str], texts: DataFrame, work: Callable,
         if parts:
             yield from done()
 
-    rows = groups.join(texts, "key").select(*by, "key", "root", "side", "packed")
     return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
 
 
+def compared(groups: DataFrame, by: list[str], texts: DataFrame, work: Callable, schema: str, size: int, percent: int, limits: Limits) -> DataFrame:
+    """work() on each group of rows (by, key, side): its sets, keys and sides."""
+
+    def run(rows: pa.Table) -> list[np.ndarray]:
+        sets: list[np.ndarray] = []
+        some: list[bytes] = []
+        held_ = 0
+        for chunk in rows["packed"].chunks:
+            for x in chunk:
+                some.append(unpacked(x.as_py()))
+                held_ += len(some[-1])
+                if held_ >= limits.span:
+                    sets, some, held_ = sets + shingle_sets(some, size), [], 0
+        sets += shingle_sets(some, size) if some else []
+        return work(sets, rows["key"].to_numpy(), rows["side"].to_numpy(), percent, limits.columns)
+
+    rows = groups.join(texts.select("key", "packed"), "key").select(*by, "key", "side", "packed")
+    return grouped(rows, by, run, schema)
+
+
 def repeated(keys: np.ndarray, side: np.ndarray) -> np.ndarray:
     """Which rows repeat a key and side: a set that several tasks have read."""
     out = np.ones(len(keys), bool)
@@ -333,58 +368,57 @@ def component_table(docs: DataFrame, nodes: DataFrame, size: int, percent: int,
     wanted = nodes.join(candidates, "key", "left_semi").select(F.col("doc").alias("doc_id")).select(hashed_id())
     sets = written(texts_of_sets(texts, chosen(written(wanted, "wanted")), size, span).join(candidates, "key", "left_semi"), "sets")
 
-    def against(groups: DataFrame, by: list[str], work: Callable = group_links, schema: str = "a bigint, b bigint") -> DataFrame:
-        return compared(groups, by, sets, work, schema, size, percent, limits)
-
     dealt = lambda parts: F.pmod(F.xxhash64("key"), F.col(parts)).cast("int")
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    # stars: each signature's smallest node against the others
-    near = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent
-    stars = written(members.where(F.col("key") != F.col("pivot")).where(near).select("pivot", "key", "n").distinct(), "stars")
-    blocks = F.greatest(F.ceil(F.count("*") / limits.star), F.ceil(F.sum("n") / (8 * limits.shingles))).cast("int")
-    parts = written(stars.groupBy("pivot").agg(blocks.alias("parts")), "parts")
     side = lambda n: F.lit(n).alias("side")
-    others = stars.join(parts, "pivot").select("pivot", dealt("parts").alias("part"), "key", F.col("key").alias("root"), side(1))
-    heads = parts.select("pivot", each("parts").alias("part"), F.col("pivot").alias("key"), F.col("pivot").alias("root"), side(0))
-    links = written(against(others.unionByName(heads), ["pivot", "part"]), "links")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (pivot, key, n of key) that link, as (a, b): a pivot's text is sent once for so many others."""
+        blocks = F.greatest(F.ceil(F.count("*") / limits.star), F.ceil(F.sum("n") / limits.shingles)).cast("int")
+        parts = written(pairs.groupBy("pivot").agg(blocks.alias("parts")), "parts")
+        others = pairs.join(parts, "pivot").select("pivot", dealt("parts").alias("part"), "key", side(1))
+        heads = parts.select("pivot", each("parts").alias("part"), F.col("pivot").alias("key"), side(0))
+        return written(compared(others.unionByName(heads), ["pivot", "part"], sets, star_links, "a bigint, b bigint", size, percent, limits), "links")
+
+    def near(groups: DataFrame, by: list[str]) -> DataFrame:
+        """Pairs of rows (by, key, root, side) of a group that sketches don't rule out."""
+        rows = groups.join(sketches, "key").select(*by, "key", "root", "side", "n", "sketch")
+        return grouped(rows, by, lambda t: near_pairs(t, percent), "pivot bigint, key bigint, n bigint").distinct()
+
+    # stars: each signature's smallest node against the others
+    apart = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent
+    stars = written(members.where(F.col("key") != F.col("pivot")).where(apart).select("pivot", "key", "n").distinct(), "stars")
+    links = verified(stars)
     found = written(components(links), "roots")
     # signatures under which two components still meet, beside what the pivot has been compared with
-    rooted = members.select("signature", "key", "n").join(found.withColumnRenamed("node", "key"), "key", "left").select("signature", "key", "n", F.coalesce("root", "key").alias("root"))
-    counts = rooted.groupBy("signature", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s")).groupBy("signature")
-    counts = counts.agg(F.sum("c").alias("m"), F.sum("s").alias("s"), F.count("*").alias("roots"), F.max_by("root", "c").alias("main"), F.max("c").alias("mains"))
+    rooted = members.select("signature", "key").join(found.withColumnRenamed("node", "key"), "key", "left").select("signature", "key", F.coalesce("root", "key").alias("root"))
+    counts = rooted.groupBy("signature", "root").agg(F.count("*").alias("c")).groupBy("signature")
+    counts = counts.agg(F.sum("c").alias("m"), F.count("*").alias("roots"), F.max_by("root", "c").alias("main"), F.max("c").alias("mains"))
     open_ = written(rooted.join(counts.where("roots > 1 and m > 2"), "signature"), "open")
-    # what open signatures connect, small enough to be compared at once, each text sent once
-    tied = open_.groupBy("signature").agg(F.min("key").alias("low")).join(open_.select("signature", "key"), "signature").select(F.col("low").alias("a"), F.col("key").alias("b"))
-    tied = written(components(tied), "tied").select(F.col("node").alias("key"), F.col("root").alias("cluster"))
-    tied = tied.join(nodes.select("key", "n"), "key")
-    fits = lambda count, sum_: (F.col(count) <= limits.block) & (F.col(sum_) <= limits.shingles)
-    little = written(tied.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("s")).where(fits("c", "s")).select("cluster"), "little")
-    together = written(tied.join(little, "cluster", "left_semi").select("key", "cluster"), "together")
-    few = together.join(open_.select("key", "root").distinct(), "key").select("cluster", "key", "root", side(2))
-    more = written(against(few, ["cluster"]), "links")
-    open_ = open_.join(together, "key", "left_anti")  # a signature's nodes are of one cluster
-    small = fits("m", "s")
+    sketches = sets.select("key", "sketch").join(nodes.select("key", "n"), "key")
+    small = F.col("m") <= limits.block
     # few nodes: one group for all signatures that have the same ones
     lists = open_.where(small).groupBy("signature").agg(F.array_sort(F.collect_list(F.struct("key", "root"))).alias("nodes")).select("nodes").distinct()
     few = lists.select(F.xxhash64("nodes").alias("list"), F.explode("nodes").alias("x")).select("list", "x.key", "x.root", side(2))
-    more = more.unionByName(written(against(few, ["list"]), "links"))
     # many: all but the largest component's nodes are held against all
-    most = lambda count: F.greatest(F.lit(1), F.ceil(F.col(count) / limits.block), F.ceil(F.col("s") / limits.shingles)).cast("int")
+    most = lambda count: F.greatest(F.lit(1), F.ceil(F.col(count) / limits.block)).cast("int")
     many = open_.where(~small).withColumn("rest", F.col("m") - F.col("mains")).withColumn("ts", most("m")).withColumn("qs", most("rest"))
     asked = many.where("root != main").select("signature", dealt("qs").alias("q"), each("ts").alias("t"), "key", "root", side(0))
     held_against = many.select("signature", each("qs").alias("q"), dealt("ts").alias("t"), "key", "root", side(1))
-    most_ = written(against(asked.unionByName(held_against), ["signature", "q", "t"]), "links")
+    pairs = near(few, ["list"]).unionByName(near(asked.unionByName(held_against), ["signature", "q", "t"]))
+    more = verified(written(pairs.distinct(), "near"))
     forest = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = written(components(forest.unionByName(more).unionByName(most_)), "roots").select(F.col("node").alias("key"), "root")
+    roots = written(components(forest.unionByName(more)), "roots").select(F.col("node").alias("key"), "root")
     if not count_links:
         return roots.withColumn("links", F.lit(None).cast("bigint"))
-    blocks = F.greatest(F.ceil(F.count("*") / limits.block), F.ceil(F.sum("n") / limits.shingles)).cast("int")
+    blocks = F.greatest(F.ceil(F.count("*") / limits.sets), F.ceil(F.sum("n") / limits.shingles)).cast("int")
     sized = roots.join(nodes.select("key", "n"), "key").groupBy("root").agg(F.count("*").alias("m"), blocks.alias("parts"))
     inside = roots.join(sized, "root")
     larger = inside.where("m > 2").select("root", "key", dealt("parts").alias("part"), each("parts").alias("other"))
     larger = larger.select("root", F.least("part", "other").alias("q"), F.greatest("part", "other").alias("t"), "key", F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"))
     # a block's rows alone under (q, q) are side 2; under (q, t) there are sides 0 and 1
-    degrees = against(larger.withColumn("component", F.col("root")), ["component", "q", "t"], group_counts, "key bigint, links bigint").groupBy("key").agg(F.sum("links").alias("links"))
+    counted_links = compared(larger.withColumnRenamed("root", "component"), ["component", "q", "t"], sets, group_counts, "key bigint, links bigint", size, percent, limits)
+    degrees = counted_links.groupBy("key").agg(F.sum("links").alias("links"))
     degrees = degrees.unionByName(inside.where("m = 2").select("key", F.lit(1).cast("bigint").alias("links")))
     return roots.join(degrees, "key")
 

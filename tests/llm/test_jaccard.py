@@ -9,7 +9,7 @@ import pytest
 from tessera.llm import jaccard
 
 EDGES = [None, "", " ", "a", "same text", "same text", "from " * 500]
-LIMITS = [{}, {"block": 6, "shingles": 400, "star": 5, "columns": 50, "span": 200}]
+LIMITS = [{}, {"block": 6, "shingles": 400, "star": 5, "sets": 5, "columns": 50, "span": 200}]
 
 
 def prose(rng, n, kinds=40):
@@ -119,4 +119,15 @@ def test_products_of_blocks_count_intersections():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(12)]
     want = [[len(np.intersect1d(x, y)) for y in sets[3:]] for x in sets[:5]]
+    same = jaccard.shared_counts(sets, sets, 7)
+    assert all(same[i, j] == len(np.intersect1d(x, y)) for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j)
     assert jaccard.shared_counts(sets[:5], sets[3:], 7).tolist() == want and jaccard.shared_counts(sets[:1], sets[3:], 7).tolist() == want[:1]
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_elements():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        a = np.unique(rng.integers(0, 2**64, rng.integers(1, 3000), np.uint64, endpoint=False))
+        b = np.unique(np.append(a[rng.random(len(a)) < 0.9], rng.integers(0, 2**64, rng.integers(0, 200), np.uint64, endpoint=False)))
+        x, y = (np.frombuffer(jaccard.sketch(s), np.uint64) for s in (a, b))
+        assert len(jaccard.sketch(a)) * 8 == jaccard.SKETCH and np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
