@@ -51,7 +51,8 @@ STAGES = [
     ("secrets", mask_secrets),
     ("tokens", encode_tokens),
 ]
-#: A classifier and an exact join by similarity have no SQL; the stages are tested against brute force.
+#: A classifier and a join by similarity have no SQL. The operators under the stages are tested against brute force, the library or
+#: held-out labels (tests/llm), the stages and run() by what they keep (tests/llm/test_pipeline.py).
 ORACLE_SQL = None
 
 
