@@ -6,6 +6,8 @@ The pattern extractor is a stand-in for grammars: it sees definitions that open
 from __future__ import annotations
 
 import ast
+import hashlib
+import pkgutil
 import re
 from collections.abc import Iterator
 
@@ -164,6 +166,11 @@ def extract(corpus: DataFrame) -> DataFrame:
     return corpus.select("path", "lang", "content_type", "text").mapInArrow(run, SCHEMA)
 
 
+def revision() -> str:
+    """A digest of this module; symbols of another revision are stale."""
+    return hashlib.blake2b(pkgutil.get_data(__package__, "extract.py"), digest_size=8).hexdigest()
+
+
 def capability_table(spark) -> DataFrame:
     """(lang, definitions, reference_kinds, calls) of every language with an extractor."""
     rows = [(lang, bool(d), r.split(), bool({"call", "send", "method"} & set(r.split()))) for lang, (d, r) in CAPABILITIES.items()]

@@ -42,13 +42,36 @@ def bm25(corpus: DataFrame, queries: DataFrame, keep=None, key: str = "doc_id",
     total = sized.select(F.size("terms").alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     hits = sized.select(*(c for c in columns if c not in ("dl", "term")), F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(asked, "term")
     tf = hits.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), *([F.first("kept").alias("kept")] if keep is not None else []))
+    return scored(tf, wanted, total, key, "kept" if keep is not None else None)
+
+
+def scored(tf: DataFrame, wanted: DataFrame, total: DataFrame, key: str, kept: str | None = None) -> DataFrame:
+    """(query_id, key, bm25) of postings (key, term, tf, dl) of the asked terms; total is one row (n_docs, avgdl).
+
+    Document frequencies are those of all postings; those where the column `kept` is false get no score.
+    """
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    tf = tf.where("kept").drop("kept") if keep is not None else tf
+    tf = tf.where(kept).drop(kept) if kept is not None else tf
     # one row of totals joins every posting: its size is one
-    scored = tf.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(total))
+    joined = tf.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(total))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.groupBy("query_id", key).agg(F.round(-F.sum(part), DIGITS).alias("bm25"))
+    return joined.groupBy("query_id", key).agg(F.round(-F.sum(part), DIGITS).alias("bm25"))
+
+
+def by_term(rows: DataFrame) -> DataFrame:
+    """Postings laid out for storage: ranges of terms in order, so that a scan for a few terms skips the other files and row groups."""
+    return rows.repartitionByRange("term").sortWithinPartitions("term")
+
+
+def bm25_stored(stored: DataFrame, total: DataFrame, queries: DataFrame, pool: DataFrame, key: str = "doc_id") -> DataFrame:
+    """bm25() over stored postings (key, term, tf, dl): no text is read; rows whose key is not in pool get no score."""
+    wanted = query_terms(queries)
+    asked = wanted.select("term").distinct()
+    hits = stored.select(key, "term", "tf", "dl").join(asked, "term")
+    mine = pool.select(F.col(key).alias("pool key")).distinct()
+    hits = hits.join(mine, hits[key] == mine["pool key"], "left").withColumn("kept", F.col("pool key").isNotNull()).drop("pool key")
+    return scored(hits, wanted, total, key, "kept")
 
 
 def top(scores: DataFrame, score: str, depth: int, key: str = "doc_id", ascending: bool = True) -> DataFrame:

@@ -57,6 +57,18 @@ def innermost(refs: DataFrame, spans: DataFrame, group: str, at: str, first: str
     return refs.join(held, ref_key, "left").withColumn("enclosing", F.col("best.enclosing")).drop("best")
 
 
+def with_enclosing(symbols: DataFrame) -> DataFrame:
+    """Adds enclosing_id and enclosing_line: the first definition of the enclosing name in the file whose span holds the symbol, or null.
+
+    symbols (symbol_id, path, name, tag, start_line, end_line, enclosing); path and name are the equality of the join, the span its residual.
+    """
+    d = symbols.where("tag = 'def'").select(F.col("path").alias("p"), F.col("name").alias("n"), F.col("start_line").alias("f"), F.col("end_line").alias("l"), F.col("symbol_id").alias("s"))
+    inside = symbols.where("enclosing is not null").select("symbol_id", "path", "enclosing", "start_line").distinct()
+    held = inside.join(d, (F.col("path") == F.col("p")) & (F.col("enclosing") == F.col("n")) & F.col("start_line").between(F.col("f"), F.col("l")))
+    first = held.groupBy("symbol_id").agg(F.min(F.struct("f", "l", "s")).alias("first"))
+    return symbols.join(first, "symbol_id", "left").withColumns({"enclosing_id": F.col("first.s"), "enclosing_line": F.col("first.f")}).drop("first")
+
+
 def exact_chunks(symbols: DataFrame, chunks: DataFrame, queries: DataFrame, key: str = "chunk_id") -> DataFrame:
     """The exact tier: (query_id, key, path, line) of chunks that define a name equal to the whole query.
 
@@ -77,9 +89,9 @@ def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def status(files: DataFrame, chunks: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(what, n) for files, chunks and symbols."""
+    """(what, n) for files, chunks, symbols and the bytes of the files."""
     count = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
-    return count(files, "files").unionByName(count(chunks, "chunks")).unionByName(count(symbols, "symbols"))
+    return count(files, "files").unionByName(count(chunks, "chunks")).unionByName(count(symbols, "symbols")).unionByName(files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).select(F.lit("bytes").alias("what"), "n"))
 
 
 def top_values(rows: DataFrame, column: str, limit: int | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import urllib.request
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,11 +93,43 @@ def hashed_vector(text: Column, dims: int = 64) -> Column:
     return F.get(F.transform(sized, lambda v: F.transform(v["c"], lambda x: F.when(v["n"] > 0, x / v["n"]).otherwise(F.lit(0.0)).cast("float"))), F.lit(0))
 
 
-def encode(rows: DataFrame, settings, key: str = "chunk_id") -> DataFrame:
-    """(key, embedding) of rows with text, or no rows where the backend is none."""
-    prefix = F.lit(settings.embed_doc_prefix)
-    out = rows.select(key, hashed_vector(F.concat(prefix, F.col("text")), settings.embed_dims).alias("embedding"))
-    return out.limit(0) if settings.embed_backend == "none" else out
+#: Texts in a request to an encoder behind HTTP, seconds it may take, and times it is asked.
+REQUEST, PATIENCE, TRIES = 64, 60, 3
+
+
+def asked_over_http(texts: list[str], settings) -> list[list[float]]:
+    """Vectors of texts from settings.embed_endpoint: {"input": [...]} is answered by {"data": [{"index", "embedding"}, ...]}."""
+    headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {settings.embed_api_key}"} if settings.embed_api_key else {})
+    for left in reversed(range(TRIES)):
+        try:
+            request = urllib.request.Request(settings.embed_endpoint, json.dumps({"input": texts}).encode(), headers)
+            with urllib.request.urlopen(request, timeout=PATIENCE) as reply:
+                rows = json.load(reply)["data"]
+            break
+        except OSError:
+            if not left:
+                raise
+    out = [r["embedding"] for r in sorted(rows, key=lambda r: r["index"])]
+    if len(out) != len(texts) or any(len(v) != settings.embed_dims for v in out):
+        raise ValueError(f"the encoder answered {len(out)} vectors to {len(texts)} texts, or not {settings.embed_dims} dimensions")
+    return out
+
+
+def encode(rows: DataFrame, settings, key: str = "chunk_id", prefix: str | None = None) -> DataFrame:
+    """(key, embedding) of rows with text, or no rows where the backend is none; prefix: by default that of documents."""
+    text = F.concat(F.lit(settings.embed_doc_prefix if prefix is None else prefix), F.col("text"))
+    if settings.embed_backend != "http":
+        out = rows.select(key, hashed_vector(text, settings.embed_dims).alias("embedding"))
+        return out.limit(0) if settings.embed_backend == "none" else out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, REQUEST):
+                some = batch.slice(at, REQUEST)
+                found = asked_over_http([x or "" for x in some.column(1).to_pylist()], settings)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(found, pa.list_(pa.float32()))], names=[key, "embedding"])
+
+    return rows.select(key, text.alias("text")).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, embedding array<float>")
 
 
 def missing(items: DataFrame, vectors: DataFrame, key: str = "chunk_id", vector_key: str | None = None) -> DataFrame:

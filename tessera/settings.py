@@ -18,7 +18,7 @@ ENV_PREFIX = "TESSERA_"
 
 @dataclass(frozen=True)
 class Settings:
-    """All knobs, flat; values are checked when made."""
+    """All knobs, flat; values are checked when made. The defaults are fixed values."""
 
     ranker: str = "rrf"
     rrf_constant: int = 60
@@ -61,11 +61,12 @@ class Settings:
     max_file_bytes: int = 1_000_000
     refresh_mode: str = "auto"
     rescan_after_seconds: int = 5
+    data_dir: str = ""
 
     def __post_init__(self) -> None:
         choices = {
             "ranker": ("rrf", "none"),
-            "embed_backend": ("hashing", "none"),
+            "embed_backend": ("hashing", "http", "none"),
             "coverage": ("definition", "hybrid"),
             "lexical_mode": ("full", "capped"),
             "split_identifiers": ("off", "inline", "append"),
@@ -79,6 +80,8 @@ class Settings:
                 raise ValueError(f"{name}: unknown categories {sorted(unknown)}")
         if self.candidate_depth < 1 or self.window_chars < 1 or not 0 <= self.saturation_decay <= 1:
             raise ValueError("candidate_depth and window_chars are at least 1, saturation_decay is from 0 to 1")
+        if self.embed_backend == "http" and not self.embed_endpoint.startswith(("http://", "https://")):
+            raise ValueError("embed_backend http needs an embed_endpoint")
 
     def fingerprint(self, *names: str) -> str:
         """A digest of the named settings; an index built under another one is stale."""
@@ -86,7 +89,7 @@ class Settings:
 
     def identity(self) -> dict[str, str]:
         return {
-            "vectors": self.fingerprint("embed_backend", "embed_dims", "embed_doc_prefix"),
+            "vectors": self.fingerprint("embed_backend", "embed_dims", "embed_doc_prefix", "embed_endpoint"),
             "categories": self.fingerprint("doc_languages", "config_languages", "data_languages", "test_markers", "index_excluded"),
             "chunking": self.fingerprint("coverage", "window_chars", "lexical_mode", "lexical_cap_chars", "lexical_enrich", "split_identifiers", "max_chunk_lines", "distill_docs"),
         }

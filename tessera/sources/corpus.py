@@ -6,10 +6,13 @@ A corpus has path, lang, content_type, text, size and mtime_ns; every operator d
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..functions.classify import classify, is_generated, is_indexable, language
 from ..settings import Settings
@@ -68,11 +71,11 @@ def valid_text(content: Column) -> Column:
     return F.translate(F.make_valid_utf8(content.cast("string")), "\N{REPLACEMENT CHARACTER}", "")
 
 
-def walk(spark: SparkSession, root: str, settings: Settings | None = None) -> DataFrame:
-    """Every indexable file under a directory: path, lang, content_type, text, size, mtime_ns.
+def listing(spark: SparkSession, root: str, settings: Settings | None = None) -> DataFrame:
+    """Every file under a directory that may be indexed, unread: path, lang, content_type, size, mtime_ns.
 
     Left out, in this order: what ignore files and excluded directory names say, files without a language, too large
-    files, generated ones, and categories that are never indexed. The size bound reaches the scan.
+    files, and categories that are never indexed. The size bound reaches the scan; no content is read.
     """
     settings = settings or Settings()
     base = Path(root).resolve()
@@ -88,9 +91,40 @@ def walk(spark: SparkSession, root: str, settings: Settings | None = None) -> Da
     pruned = F.exists(F.slice(segments, 1, F.size(segments) - 1), lambda d: d.isin(*settings.hard_exclude))
     hidden = F.col("path").rlike("(?:^|/)(?:" + "|".join(map(re.escape, IGNORE_FILES)) + ")$")
     kept = files.where(~pruned & ~hidden & ~is_ignored(F.col("path"), ignore_rules(base, settings)) & is_indexable(F.col("path")))
-    kept = with_category(kept.where(~is_generated(F.col("content"), F.col("length"))), settings).where(~F.col("content_type").isin(*settings.index_excluded))
-    mtime = (F.unix_millis("modificationTime") * 1_000_000).alias("mtime_ns")
-    return kept.select("path", "lang", "content_type", valid_text(F.col("content")).alias("text"), F.col("length").alias("size"), mtime)
+    kept = with_category(kept, settings).where(~F.col("content_type").isin(*settings.index_excluded))
+    return kept.select("path", "lang", "content_type", F.col("length").alias("size"), (F.unix_millis("modificationTime") * 1_000_000).alias("mtime_ns"))
+
+
+#: Bytes of files that are handed on at a time.
+READ_BYTES = 1 << 23
+
+
+def read(files: DataFrame, root: str) -> DataFrame:
+    """Listed files with their text and whether they are generated; one that cannot be read has no row, so the next listing tries it again."""
+    base, schema = Path(root).resolve(), files.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found, held = [], [], 0
+            for k, path in enumerate(batch.column("path").to_pylist()):
+                try:
+                    found.append((base / path).read_bytes())
+                    at.append(k)
+                    held += len(found[-1])
+                except OSError:
+                    continue
+                if held >= READ_BYTES:
+                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "content"])
+                    at, found, held = [], [], 0
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at, pa.int64())).columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "content"])
+
+    out = files.mapInArrow(run, StructType([*schema.fields, StructField("content", BinaryType())]))
+    return out.withColumn("generated", is_generated(F.col("content"), F.octet_length("content").cast("bigint"))).withColumn("text", valid_text(F.col("content"))).drop("content")
+
+
+def walk(spark: SparkSession, root: str, settings: Settings | None = None) -> DataFrame:
+    """Every indexable file under a directory: path, lang, content_type, text, size, mtime_ns; generated ones are left out."""
+    return read(listing(spark, root, settings), root).where(~F.col("generated")).select("path", "lang", "content_type", "text", "size", "mtime_ns")
 
 
 def document_path() -> Column:
