@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as fc
 from ..functions import text as ft
 from ..operators import chunking, evaluation, extract, fusion, lexical, maintenance, navigation, rerank, vectors
-from ..settings import Settings
+from ..settings import MIN_CHUNK_CHARS, Settings
 from ..sources import corpus as sources
 
 S = Settings()
@@ -147,10 +147,19 @@ def glob_include_exclude(spark, d):
 
 
 # ---- chunks ----
-@query()
+@query(f"""WITH RECURSIVE pieces AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents),
+cut AS (SELECT doc_id, CASE WHEN p[-1] = '' THEN list_transform(p[:-2], lambda x: x || chr(10)) ELSE list_concat(list_transform(p[:-2], lambda x: x || chr(10)), [p[-1]]) END AS lines FROM pieces),
+sized AS (SELECT doc_id, lines, list_transform(lines, lambda x: strlen(x)) AS sizes, list_transform(lines, lambda x: ends_with(x, chr(10))) AS ended FROM cut),
+walk AS (SELECT doc_id, 0 AS n, 1 AS first, CAST(0 AS BIGINT) AS held, false AS closed, len(lines) AS total FROM sized
+  UNION ALL SELECT w.doc_id, w.n + 1, CASE WHEN w.closed THEN w.n + 1 ELSE w.first END, CASE WHEN w.closed THEN 0 ELSE w.held END + s.sizes[w.n + 1],
+    CASE WHEN w.closed THEN 0 ELSE w.held END + s.sizes[w.n + 1] >= {S.window_chars} AND s.ended[w.n + 1], w.total FROM walk w JOIN sized s USING (doc_id) WHERE w.n < w.total),
+spans AS (SELECT doc_id, first AS a, n AS b FROM walk WHERE n > 0 AND (closed OR n = total)),
+texts AS (SELECT doc_id, a, b, array_to_string(lines[a:b], '') AS text FROM spans JOIN sized USING (doc_id))
+SELECT doc_id, CAST(a AS BIGINT) AS start_line, CAST(b AS BIGINT) AS end_line, sha256(text) AS digest FROM texts
+WHERE length(regexp_replace(text, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g')) >= {MIN_CHUNK_CHARS}""")
 def line_windows(spark, d):
     out = chunking.line_windows(sources.documents(spark, d), S.window_chars)
-    return out.select("doc_id", "start_line", "end_line", F.sha2("text", 256).alias("digest"))
+    return out.select("doc_id", long("start_line", "start_line"), long("end_line", "end_line"), F.sha2("text", 256).alias("digest"))
 
 
 @query()
@@ -546,6 +555,9 @@ def extract_python(spark, d):
     return extract.extract(sources.documents(spark, d).select("path", "lang", "content_type", "text").unionByName(sample))
 
 
-@query()
+@query(
+    "WITH languages(lang, defined, referred) AS (VALUES " + ", ".join(f"('{lang}', '{a}', '{b}')" for lang, (a, b) in extract.CAPABILITIES.items()) + """)
+SELECT lang, defined <> '' AS definitions, referred AS reference_kinds, regexp_matches(referred, '\\b(call|send|method)\\b') AS calls FROM languages"""
+)
 def capabilities(spark, d):
-    return extract.capability_table(spark)
+    return extract.capability_table(spark).withColumn("reference_kinds", F.array_join("reference_kinds", " "))

@@ -6,7 +6,7 @@ import pytest
 from tessera.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["classify_files", "distil_text", "hybrid_overlap", "enclosing_interval", "exact_tier_theta", "bm25_batch", "vector_batch", "path_penalty", "refresh_diff", "hybrid_search"]
+NAMES = ["classify_files", "distil_text", "hybrid_overlap", "enclosing_interval", "exact_tier_theta", "bm25_batch", "vector_batch", "path_penalty", "refresh_diff", "hybrid_search", "line_windows", "capabilities"]
 
 
 @pytest.fixture(scope="module")
