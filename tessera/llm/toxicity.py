@@ -26,7 +26,7 @@ from .common import table, written
 BITS = 22
 FEATURES = 1 << BITS
 SIZES = (3, 4, 5, 6)
-#: Characters that are hashed at a time; a longer text goes in pieces that overlap by the longest n-gram.
+#: Characters that are hashed at a time; a longer text goes in pieces.
 SPAN = 1 << 18
 _FOLD: list[np.ndarray] = []
 
@@ -55,20 +55,17 @@ def fold() -> np.ndarray:
 
 
 def hits(texts: list[str], wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text number, slot or place in wanted, count) of all n-grams, in order; wanted: a Model.lookup()."""
+    """Distinct (text number, slot or place in wanted, count) of all n-grams, in order; wanted: a Model.lookup().
+
+    A text's n-grams are those of the text by itself, with a blank at both ends: short texts are worked on side by side, a
+    longer one piece after piece, each after the last characters of the one before.
+    """
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    pieces, owners, held = [], [], 0
+    some, owners, held = [], [], 0
 
-    def flushed() -> None:
-        nonlocal pieces, owners, held
-        if not pieces:
-            return
-        chars = fold()[np.frombuffer("\n".join(["", *pieces, ""]).encode("utf-32-le"), "<u4")]
-        owner = np.repeat(np.array([*owners, owners[-1]]), [*(len(p) + 1 for p in pieces), 1])  # a seam goes with what follows
-        blank = chars == 32
-        stay = ~(blank[1:] & blank[:-1])
-        chars, owner = chars[1:][stay].astype(np.uint64), owner[1:][stay]
-        chars, owner = np.concatenate([[np.uint64(32)], chars]), np.concatenate([owner[:1], owner])
+    def counted(chars: np.ndarray, owner: np.ndarray, seen: int = 0) -> None:
+        """Counts the n-grams inside one text that end after the first `seen` characters."""
+        chars = chars.astype(np.uint64)
         rolled, keys = chars.copy(), [np.zeros(0, np.int64)]
         for n in range(2, SIZES[-1] + 1):
             if len(chars) < n:
@@ -76,27 +73,44 @@ def hits(texts: list[str], wanted: np.ndarray | None) -> tuple[np.ndarray, np.nd
             rolled = rolled[:-1] * np.uint64(0x100000001B3) + chars[n - 1 :]
             if n in SIZES:
                 slot = ((rolled + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
-                same = owner[n - 1 :] == owner[: len(rolled)]  # not over a seam between texts
-                if wanted is None:
-                    keys.append((owner[: len(rolled)].astype(np.int64) << 32 | slot.astype(np.int64))[same])
-                else:
-                    place = wanted[slot]
-                    at = np.flatnonzero((place > 0) & same)
-                    keys.append(owner[at].astype(np.int64) << 32 | place[at])
+                mine = owner[n - 1 :] == owner[: len(rolled)]
+                mine[: max(seen - n + 1, 0)] = False
+                place = slot.astype(np.int64) if wanted is None else wanted[slot]
+                at = np.flatnonzero(mine if wanted is None else mine & (place > 0))
+                keys.append(owner[at].astype(np.int64) << 32 | place[at])
         found.append(np.unique(np.concatenate(keys), return_counts=True))
-        pieces, owners, held = [], [], 0
+
+    def letters(text: str) -> np.ndarray:
+        return fold()[np.frombuffer(text.encode("utf-32-le"), "<u4")]
+
+    def flushed() -> None:
+        nonlocal some, owners, held
+        if some:
+            chars = letters(" " + "  ".join(some) + " ")
+            owner = np.repeat(np.array(owners), [len(t) + 2 for t in some])
+            stay = np.append(True, (chars[1:] != 32) | (chars[:-1] != 32) | (owner[1:] != owner[:-1]))
+            counted(chars[stay], owner[stay])
+        some, owners, held = [], [], 0
+
+    def in_pieces(text: str, number: int) -> None:
+        before = np.array([32], np.uint32)
+        for k in range(0, len(text) + 1, SPAN):
+            piece = letters(text[k : k + SPAN] + (" " if k + SPAN > len(text) else ""))
+            stay = (piece != 32) | (np.concatenate([before[-1:], piece[:-1]]) != 32)
+            chars = np.concatenate([before, piece[stay]])
+            counted(chars, np.full(len(chars), number), len(before))
+            before = chars[1 - SIZES[-1] :]
 
     for number, text in enumerate(texts):
-        step = SPAN - SIZES[-1]
-        for k in range(0, max(len(text), 1), step):
-            piece = text[k : k + SPAN]
-            if k and len(piece) <= SIZES[-1]:
-                break
-            if held + len(piece) > SPAN:
-                flushed()
-            pieces.append(piece)
-            owners.append(number)
-            held += len(piece)
+        if len(text) > SPAN:
+            flushed()
+            in_pieces(text, number)
+            continue
+        if held + len(text) > SPAN:
+            flushed()
+        some.append(text)
+        owners.append(number)
+        held += len(text) + 2
     flushed()
     if not found:
         return (np.zeros(0, np.int64),) * 3
