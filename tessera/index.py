@@ -196,7 +196,9 @@ class Index:
         return navigation.symbol_counts(rows, by, limit), navigation.symbol_totals(rows, navigation.DIMENSIONS[by])
 
     def status(self) -> DataFrame:
-        return navigation.status(self._table("files").where(~F.col("generated")), self._table("chunks"), self._table("symbols"))
+        """(what, n) for files, chunks, symbols and the bytes of the files."""
+        files = self._table("files").where(~F.col("generated"))
+        return navigation.status(files, self._table("chunks"), self._table("symbols")).unionByName(navigation.total_bytes(files))
 
     def languages(self, limit: int | None = None) -> DataFrame:
         """(value, n): languages by their number of files."""

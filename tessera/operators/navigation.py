@@ -89,9 +89,14 @@ def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def status(files: DataFrame, chunks: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(what, n) for files, chunks, symbols and the bytes of the files."""
+    """(what, n) for files, chunks and symbols."""
     count = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
-    return count(files, "files").unionByName(count(chunks, "chunks")).unionByName(count(symbols, "symbols")).unionByName(files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).select(F.lit("bytes").alias("what"), "n"))
+    return count(files, "files").unionByName(count(chunks, "chunks")).unionByName(count(symbols, "symbols"))
+
+
+def total_bytes(files: DataFrame) -> DataFrame:
+    """(what, n) for the bytes of files with a size."""
+    return files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).select(F.lit("bytes").alias("what"), "n")
 
 
 def top_values(rows: DataFrame, column: str, limit: int | None = None) -> DataFrame:
