@@ -6,6 +6,7 @@ import re
 import numpy as np
 import xxhash
 
+from tessera.operators import extract
 from tessera.plans import catalogue
 from tessera.sources import corpus
 
@@ -63,3 +64,16 @@ def test_extract_python(spark):
     want = {r.path: found for r in corpus.documents(spark, SF).collect() if (found := definitions(r.text, r.lang))}
     want["pkg/sample.py"] = definitions(catalogue.SAMPLE, "python")
     assert got == want and len(want["pkg/sample.py"]) > 3
+
+
+def test_python_nested_too_deep_or_with_other_line_ends(spark):
+    deep = "def f(:\n" + "(" * 5000 + ")" * 5000
+    chain = "def g():\n    return " + " + ".join(["h(1)"] * 3000)
+    note = "def k(a: '" + "(" * 300 + "b" + ")" * 300 + "') -> int:\n    return 1"
+    ends = "X = 1\rY = 2\r\nclass Z:\r    pass"
+    texts = {"deep": "(" * 5000 + ")" * 5000 + "\ndef f(): pass", "broken": deep, "chain": chain, "note": note, "ends": ends}
+    rows = spark.createDataFrame([(path, "python", "code", text) for path, text in texts.items()], "path string, lang string, content_type string, text string")
+    got = extract.extract(rows).collect()
+    defs = sorted((r.path, r.name, r.start_line) for r in got if r.tag == "def")
+    assert defs == [("broken", "f", 1), ("chain", "g", 1), ("deep", "f", 2), ("ends", "X", 1), ("ends", "Y", 2), ("ends", "Z", 3), ("note", "k", 1)]
+    assert sum(r.path == "chain" and r.name == "h" and r.enclosing == "g" for r in got) == 3000
