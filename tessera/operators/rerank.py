@@ -82,11 +82,14 @@ def stem_gain(query: Column, path: Column, top: Column, settings) -> Column:
 
 
 def query_boosts(cands: DataFrame, settings) -> DataFrame:
-    """Definitions for a symbol query; else stems, then definitions of embedded symbols at half strength."""
-    top = F.max("score").over(per_query())
+    """Definitions for a symbol query; else stems, then definitions of embedded symbols at half strength.
+
+    A query may have every row as a candidate, so no text is dealt by query: the best scores, a number a query, are broadcast.
+    """
+    tops = cands.groupBy(F.col("query_id").alias("query of top")).agg(F.max("score").alias("top"))
     symbol = is_symbol_query(F.col("query"))
     unit = F.col("top") * settings.definition_boost * F.when(symbol, 1.0).otherwise(EMBEDDED)
-    out = cands.withColumn("top", top)
+    out = cands.join(F.broadcast(tops), F.col("query_id").eqNullSafe(F.col("query of top")), "left").drop("query of top")
     gain = bonus(F.col("text"), F.col("path"), query_names(F.col("query")), unit) + F.when(symbol, 0.0).otherwise(stem_gain(F.col("query"), F.col("path"), F.col("top"), settings))
     return out.withColumn("score", F.round(F.col("score") + F.when(F.col("top") > 0, gain).otherwise(0.0), DIGITS)).drop("top")
 
