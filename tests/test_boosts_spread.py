@@ -10,7 +10,7 @@ from tessera.plans import catalogue
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["definition_boost", "embedded_boost"])
+@pytest.mark.parametrize("name", ["definition_boost", "embedded_boost", "stem_boost"])
 def test_no_row_of_text_is_exchanged(spark, name):
     plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     dealt = re.findall(r"\bExchange (?:hash|range|Single)\w*", plan)
