@@ -6,7 +6,7 @@ import re
 import numpy as np
 import xxhash
 
-from tessera.operators import extract
+from tessera.operators import extract, vectors
 from tessera.plans import catalogue
 from tessera.sources import corpus
 
@@ -35,6 +35,26 @@ def test_embed_hash(spark):
     assert len(got) == len(want) and all(np.allclose(r.embedding, want[r.doc_id], atol=1e-6) for r in got)
 
 
+def test_embedding_works_out_a_word_once(spark):
+    odd = [None, "", "ñ é", "_ __ _a_b__C a1B2 9ab 12_3 __init__", "wordñword ABc\0x", "x" * 9000 + " yZ" * 9000, " ".join(f"w{k}Q" for k in range(3000))]
+    rows = spark.createDataFrame(list(enumerate(odd)), "k long, text string")
+    for dims in (64, 24):
+        slots = vectors.Slots(dims)
+        want = []
+        for text in odd:
+            counts = np.zeros(dims)
+            for word in words_of(text or ""):
+                digest = xxhash.xxh64_intdigest(word.encode(), 42)
+                slot = (digest - (digest >> 63 << 64)) % (2 * dims)
+                counts[slot >> 1] += 1 if slot % 2 == 0 else -1
+            want.append(counts)
+        assert (slots.counts([text and text.encode() for text in odd]) == want).all()
+        assert len(slots) == len({w for text in odd for w in re.findall(rb"[A-Za-z_][A-Za-z0-9_]*", (text or "").encode())})
+        got = [r.v for r in rows.select("k", vectors.hashed_vector(rows.text, dims).alias("v")).orderBy("k").collect()]
+        assert got[0] is None and got[1] == [0.0] * dims
+        assert all(np.allclose(v, c / (np.sqrt((c * c).sum()) or 1), atol=1e-6) for v, c in list(zip(got, want, strict=True))[1:])
+
+
 def definitions(text, lang):
     """(name, line) of the definitions of a text, by rules written anew."""
     lines = text.split("\n")
