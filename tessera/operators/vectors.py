@@ -5,9 +5,7 @@ from __future__ import annotations
 import json
 import re
 import urllib.request
-from array import array
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CAMEL_RUNS, IDENTIFIER
+from .numbered import Numbered, blocks
 
 DIGITS = 6
 
@@ -79,60 +78,30 @@ def matrix(lists: pa.Array) -> np.ndarray:
     return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
 
 
-#: Identifiers and their parts as functions.text has them, on UTF-8; bytes of texts and words that are counted at a time, and words kept.
-_WORD, _PART = re.compile(IDENTIFIER.encode()), re.compile(CAMEL_RUNS.encode())
-COUNT_BYTES, COUNT_WORDS, KEPT_WORDS = 1 << 22, 1 << 18, 1 << 19
+_PART = re.compile(CAMEL_RUNS.encode())
 
 
-class Slots(dict):
-    """Words by number; a word's slots, of itself and of its parts, are flat[starts[n]:starts[n + 1]], and are worked out once."""
+class Slots(Numbered):
+    """Identifiers as functions.text splits them, on UTF-8: the slots of a word and of its parts."""
 
     def __init__(self, dims: int):
-        super().__init__()
-        self.dims, self.flat, self.starts = dims, array("q"), array("q", [0])
+        super().__init__(IDENTIFIER.encode(), self.slots)
+        self.dims = dims
 
-    def __missing__(self, word: bytes) -> int:
+    def slots(self, word: bytes) -> list[int]:
         low = word.lower()
         cut = [x for x in low.split(b"_") if x] if b"_" in word else [x.lower() for x in _PART.findall(word)]
-        for token in [low, *cut] if len(cut) > 1 else [low]:
-            digest = xxhash.xxh64_intdigest(token, 42)
-            self.flat.append((digest - (digest >> 63 << 64)) % (2 * self.dims))
-        self.starts.append(len(self.flat))
-        self[word] = n = len(self)
-        return n
+        digests = [xxhash.xxh64_intdigest(token, 42) for token in ([low, *cut] if len(cut) > 1 else [low])]
+        return [(x - (x >> 63 << 64)) % (2 * self.dims) for x in digests]
 
     def counts(self, texts: list[bytes | None]) -> np.ndarray:
         """A row of signed counts for each text."""
         out = np.zeros(len(texts) * 2 * self.dims)
-        for owner, ids in joined(self.numbers(text or b"") for text in texts):
-            flat, starts = np.array(self.flat), np.array(self.starts)
-            many = starts[ids + 1] - starts[ids]
-            at = np.arange(many.sum()) + np.repeat(starts[ids] - np.cumsum(many) + many, many)
-            out += np.bincount(np.repeat(owner, many) * 2 * self.dims + flat[at], minlength=len(out))
+        for owner, slot in self.expanded(texts):
+            out += np.bincount(owner * 2 * self.dims + slot, minlength=len(out))
         pairs = out.reshape(len(texts), self.dims, 2)
         return pairs[:, :, 0] - pairs[:, :, 1]
 
-    def numbers(self, text: bytes) -> Iterator[np.ndarray]:
-        """The numbers of a text's words, COUNT_WORDS at a time."""
-        found = iter(_WORD.findall(text)) if len(text) <= COUNT_BYTES else (m[0] for m in _WORD.finditer(text))
-        while len(some := np.fromiter(map(self.__getitem__, islice(found, COUNT_WORDS)), np.int64)):
-            yield some
-
-
-def joined(numbers: Iterator[Iterator[np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places of texts, numbers of words), about COUNT_WORDS at a time."""
-    owners, held, size = [], [], 0
-    for k, parts in enumerate(numbers):
-        for some in parts:
-            owners.append(np.full(len(some), k))
-            held.append(some)
-            size += len(some)
-            if size >= COUNT_WORDS:
-                yield np.concatenate(owners), np.concatenate(held)
-                owners, held, size = [], [], 0
-    if held:
-        yield np.concatenate(owners), np.concatenate(held)
-
 
 def hashed_vector(text: Column, dims: int = 64) -> Column:
     """A unit vector of signed hashed token counts; the zero vector for a text without tokens."""
@@ -141,20 +110,13 @@ def hashed_vector(text: Column, dims: int = 64) -> Column:
     def encoded(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         slots = Slots(dims)
         for column in texts:
-            done, at = [], 0
-            while at < len(column):
-                some, held = [], 0
-                while at < len(column) and held < COUNT_BYTES and len(some) < 1024:
-                    some.append(column[at].as_py())
-                    held += len(some[-1] or b"")
-                    at += 1
+            done = []
+            for _, some in blocks(column):
                 counts = slots.counts(some)
                 norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
                 rows = np.divide(counts, norm, out=np.zeros_like(counts), where=norm > 0).astype(np.float32)
-                edges = pa.array(np.append(np.arange(len(some)) * dims, len(some) * dims), pa.int32(), mask=np.array([*(x is None for x in some), False]))
+                edges = pa.array(np.arange(len(some) + 1) * dims, pa.int32(), mask=np.array([*(x is None for x in some), False]))
                 done.append(pa.ListArray.from_arrays(edges, pa.array(rows.ravel())))
-                if len(slots) > KEPT_WORDS:
-                    slots = Slots(dims)
             yield pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.float32()))
 
     return encoded(text.cast("binary"))

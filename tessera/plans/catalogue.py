@@ -285,18 +285,18 @@ def ranks(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {ONE_QUERY}, {TOKENS}, {ASKED}, {BM25.format(where='')} {TOP.format(10)}")
 def bm25_topk(spark, d):
-    return ranks(lexical.top(lexical.bm25(table(spark, d, "documents"), one_query(spark)), "bm25", 10))
+    return ranks(lexical.bm25_top(table(spark, d, "documents"), one_query(spark), 10))
 
 
 @query(f"WITH {ONE_QUERY}, {CORPUS}, {TOKENS}, {ASKED}, {BM25.format(where=chr(10) + 'WHERE doc_id IN (SELECT doc_id FROM files WHERE content_type = ' + chr(39) + 'docs' + chr(39) + ')')} {TOP.format(10)}")
 def bm25_filtered(spark, d):
     docs = sources.documents(spark, d)
-    return ranks(lexical.top(lexical.bm25(docs, one_query(spark), F.col("content_type") == "docs"), "bm25", 10))
+    return ranks(lexical.bm25_top(docs, one_query(spark), 10, F.col("content_type") == "docs"))
 
 
 @query(f"WITH {BENCHMARK}, {TOKENS}, {ASKED}, {BM25.format(where='')} {TOP.format(30)}")
 def bm25_batch(spark, d):
-    return ranks(lexical.top(lexical.bm25(table(spark, d, "documents"), benchmark_queries(spark, d)), "bm25", S.candidate_depth))
+    return ranks(lexical.bm25_top(table(spark, d, "documents"), benchmark_queries(spark, d), S.candidate_depth))
 
 
 def vector_queries(spark, d, keep) -> DataFrame:
@@ -333,7 +333,7 @@ def embed_hash(spark, d):
 # ---- fusion and reranking ----
 def tier_lists(spark, d) -> DataFrame:
     queries = benchmark_queries(spark, d)
-    words = lexical.top(lexical.bm25(table(spark, d, "documents"), queries), "bm25", S.candidate_depth)
+    words = lexical.bm25_top(table(spark, d, "documents"), queries, S.candidate_depth)
     asked = table(spark, d, "embeddings").join(queries.select(F.col("query_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query_id"), "embedding")
     near = vectors.nearest(table(spark, d, "embeddings"), asked, S.candidate_depth).withColumnRenamed("vec_id", "doc_id")
     return fusion.ranked("lexical", words, "bm25", lower_is_better=True).unionByName(fusion.ranked("vector", near, "cosine"))
@@ -499,7 +499,7 @@ got AS (SELECT query_id, sum(rel / log2(rank + 1)) AS dcg, max(CASE WHEN rel > 0
 SELECT q.query_id, round(coalesce(dcg, 0.0) / idcg, 6) AS ndcg, coalesce(hit, 0) AS hit FROM queries q CROSS JOIN ideal LEFT JOIN got USING (query_id) WHERE idcg > 0""")
 def ndcg_eval(spark, d):
     queries = benchmark_queries(spark, d)
-    ranking = lexical.top(lexical.bm25(table(spark, d, "documents"), queries), "bm25", 10)
+    ranking = lexical.bm25_top(table(spark, d, "documents"), queries, 10)
     labels = table(spark, d, "labels").select("doc_id", F.col("quality").alias("rel"))
     return evaluation.ndcg(ranking, labels, 10, queries=queries)
 
