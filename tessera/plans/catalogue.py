@@ -373,12 +373,18 @@ COHERENT = """coherent AS (SELECT query_id, query, doc_id, path, text, round(sco
     SELECT *, sum(score) OVER (PARTITION BY query_id, path) AS file_sum, row_number() OVER (PARTITION BY query_id, path ORDER BY score DESC, doc_id) AS best FROM cands)))"""
 
 
+#: Candidates (three numbers each) that are broadcast to the scan of the texts; more of them are joined by key.
+BROADCAST_CANDIDATES = 1 << 20
+
+
 def candidates(spark, d, path: str = "source") -> DataFrame:
     """Fused candidates of the benchmark queries with text; a document's file is its source, or its own path."""
     queries = benchmark_queries(spark, d)
     fused = fusion.merge(tier_lists(spark, d), queries, S)
+    if 2 * S.candidate_depth * queries.count() <= BROADCAST_CANDIDATES:  # else the texts of all documents are dealt out for a few
+        fused = F.broadcast(fused)
     rows = sources.documents(spark, d).select("doc_id", F.col(path).alias("path"), "text")
-    return fused.join(queries, "query_id").join(rows, "doc_id").select("query_id", "query", "doc_id", "path", "text", F.col("fused").alias("score"))
+    return rows.join(fused, "doc_id").join(queries, "query_id").select("query_id", "query", "doc_id", "path", "text", F.col("fused").alias("score"))
 
 
 @query(f"WITH {CANDIDATES}, {COHERENT} SELECT query_id, doc_id, score FROM coherent")
