@@ -7,7 +7,7 @@ from tessera.plans import catalogue
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["saturation_topk"])
+@pytest.mark.parametrize("name", ["saturation_topk", "hybrid_search"])
 def test_texts_meet_their_candidates_in_the_scan(spark, name, monkeypatch):
     bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are large
