@@ -62,3 +62,10 @@ def test_no_posting_or_score_is_dealt_out(spark):
     plan = catalogue.QUERIES["bm25_batch"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     # each task hands on its best hits of a query, and they are ranked
     assert plan.count("Exchange hashpartitioning(query_id") == plan.count("Exchange ") == 1 and "Generate" not in plan
+
+
+@pytest.mark.parametrize("name", ["bm25_batch"])
+def test_tiers_write_no_postings(spark, name):
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    # no text is taken apart into rows, and what is joined with the lists is no posting
+    assert "Generate" not in plan and "tf#" not in plan and "MapInArrow" in plan
