@@ -64,7 +64,7 @@ def test_no_posting_or_score_is_dealt_out(spark):
     assert plan.count("Exchange hashpartitioning(query_id") == plan.count("Exchange ") == 1 and "Generate" not in plan
 
 
-@pytest.mark.parametrize("name", ["bm25_batch", "evidence_map", "coherence_boost", "rrf_fusion", "rrf_weighted"])
+@pytest.mark.parametrize("name", ["bm25_batch", "evidence_map", "coherence_boost", "rrf_fusion", "rrf_weighted", "minmax_norm"])
 def test_tiers_write_no_postings(spark, name):
     plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     # no text is taken apart into rows, and what is joined with the lists is no posting
